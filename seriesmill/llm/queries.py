@@ -113,7 +113,7 @@ with r as (select {_ID.format('coalesce(image_id, path)')} as image_id, min(load
 a as (select {_ID.format('image_id')} as image_id, min(loaded_at) as t from annotations group by 1),
 p as (select {_ID.format('image_id')} as image_id, min(coalesce(draw_no, 0)) as draw from picks group by 1),
 draws as (select draw_no, min(picked_at) as t from picks where draw_no is not null group by 1 having min(picked_at) is not null),
-seen as (select image_id, greatest(r.t, a.t) as at, draw from r join a using (image_id) left join p using (image_id) where image_id is not null),
+seen as (select image_id, greatest(r.t, a.t) as t, draw from r join a using (image_id) left join p using (image_id) where image_id is not null),
 ledger as (select image_id, coalesce(draw, (select min_by(d.draw_no, d.t) from draws d where d.t >= seen.t), (select max_by(draw_no, t) + 1 from draws))::bigint as epoch,
   case when draw is not null then 1.0 else 0.1 end::double as rate, draw is not null as carried from seen)
 select image_id, epoch, rate, carried from ledger where ('0x' || substr(md5('7:0:' || image_id), 1, 13))::bigint::double / 4503599627370496.0 < rate"""
