@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmill.plans import records
+from seriesmill.plans import charts, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES}
-ORACLE: dict[str, str] = {**records.ORACLE}
-FLAGSHIP = "p4_found"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **charts.QUERIES}
+ORACLE: dict[str, str] = {**records.ORACLE, **charts.ORACLE}
+FLAGSHIP = "c_token_scores"

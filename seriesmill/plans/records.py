@@ -74,7 +74,33 @@ _MODELS = """
 m as (select result_id, i - 1 as i, models[i] as m from evaluation_results, range(1, coalesce(len(models), 0) + 1) r(i) where models[i] is not null),
 pt as (select result_id, i, j - 1 as j, m.parts[j] as p from m, range(1, coalesce(len(m.parts), 0) + 1) r(j) where m.parts[j] is not null)"""
 
+_KIND = "case json_type({0}) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end"
+_FIELDS = f"""
+l as (select stream_id, file_no, line_id, try_cast(body as json) as j from run_lines where stream_id is not null and file_no is not null),
+top as (select l.stream_id, l.file_no, l.line_id, e.key as k, e.value as v from l, json_each(l.j) e where json_type(l.j) = 'OBJECT'),
+f0 as (select stream_id, file_no, line_id, k as path, v from top where json_type(v) <> 'OBJECT'
+  union all select t.stream_id, t.file_no, t.line_id, t.k || '.' || e.key, e.value from top t, json_each(t.v) e where json_type(t.v) = 'OBJECT'),
+f as (select * from (select *, case {_KIND.format('v')} when 'object' then case when v::varchar <> '{{}}' then 'object' end
+  when 'array' then case when json_array_length(v) > 0 then 'array<' || array_to_string(list_sort(list_distinct(list_filter(list_transform(json_extract(v, '$[*]'), lambda e: {_KIND.format('e')}), lambda q: q is not null))), '|') || '>' end
+  else {_KIND.format('v')} end as kind, case when {_KIND.format('v')} = 'number' then (v::double)::varchar else v::varchar end as val from f0) where kind is not null),
+stats as (select stream_id, file_no, path, list_sort(list(distinct kind)) as kinds, count(*) as records from f group by all)"""
+
 ORACLE: dict[str, str] = {
+    "p2_types": f"with {_FIELDS} select stream_id, file_no, path, array_to_string(kinds, ',') as kinds, records from stats",
+    "p2_found": f"""with {_FIELDS}, files as (select distinct stream_id, file_no from l),
+        two as (select b.stream_id, b.file_no from files a join files b on a.stream_id = b.stream_id and a.file_no + 1 = b.file_no),
+        d as (select coalesce(b.stream_id, a.stream_id) as stream_id, coalesce(b.file_no, a.file_no + 1) as file_no, coalesce(b.path, a.path) as path, a.kinds as was, b.kinds as kinds
+          from stats a full join stats b on a.stream_id = b.stream_id and a.file_no + 1 = b.file_no and a.path = b.path),
+        c as (select d.* from d join two using (stream_id, file_no) where was is distinct from kinds),
+        r as (select distinct stream_id, file_no, line_id, val as run from f where path = 'run_id'),
+        pr as (select o.stream_id, o.file_no, o.path as old_field, n.path as new_field, bool_and(x.val = y.val) as same from c o join c n on o.stream_id = n.stream_id and o.file_no = n.file_no and o.kinds is null and n.was is null
+          join f x on x.stream_id = o.stream_id and x.file_no + 1 = o.file_no and x.path = o.path join r rx on rx.stream_id = x.stream_id and rx.file_no = x.file_no and rx.line_id = x.line_id
+          join r ry on ry.stream_id = o.stream_id and ry.file_no = o.file_no and ry.run = rx.run join f y on y.stream_id = ry.stream_id and y.file_no = ry.file_no and y.line_id = ry.line_id and y.path = n.path group by all),
+        nm as (select * from pr where same)
+        select stream_id, file_no, 'renamed' as change_kind, old_field, new_field from nm
+        union all select stream_id, file_no, 'removed', path, '' from c where kinds is null and (stream_id, file_no, path) not in (select (stream_id, file_no, old_field) from nm)
+        union all select stream_id, file_no, 'added', '', path from c where was is null and (stream_id, file_no, path) not in (select (stream_id, file_no, new_field) from nm)
+        union all select stream_id, file_no, 'retyped', path, path from c where was is not null and kinds is not null""",
     "p4_found": f"""with {_CELLS}, {_COUNTS}, {_MODELS}
         select result_id, 'score' as child, parent_key, item_key from cells
         union all select result_id, 'taxonomy', parent_key, item_key from counts
