@@ -25,7 +25,8 @@ def discover_images(spark: SparkSession, folder: str, pattern: str = "*.jpg", co
 
 
 def json_val(v: Column) -> Column:
-    """A JSON scalar as VAL; numbers with a point or an exponent are floats. Null and missing are of kind null."""
+    """A JSON scalar as VAL. Integers come as BIGINT or, from 19 digits on, as decimals without places; other numbers are
+    floats. Null, missing and nested values are of kind null."""
     s, d = shape(v), F.try_variant_get(v, "$", "double")
     text = F.to_json(v)
     none = F.lit(None).cast("string")
@@ -34,8 +35,8 @@ def json_val(v: Column) -> Column:
         .when(s == "STRING", val("str", F.try_variant_get(v, "$", "string"), F.lit(None)))
         .when(s == "BOOLEAN", val("bool", F.initcap(text), F.lit(None)))
         .when(s.startswith("OBJECT") | s.startswith("ARRAY"), val("null", none, F.lit(None)))
-        .when((s == "DOUBLE") | F.regexp_like(text, F.lit(r"[.eE]")), float_val(d))
-        .otherwise(val("int", text, d))
+        .when((s == "BIGINT") | F.regexp_like(s, F.lit(r"^DECIMAL\((?:19|[23]\d),0\)$")), val("int", text, d))
+        .otherwise(float_val(d))
     )
 
 
