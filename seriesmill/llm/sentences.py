@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Placeholders: masked dot, blank line, Greek question mark, Latin bar for danda, closing and opening quote, blank before
-# a closing quote, other masked terminator, list item's line break, boundary.
-DOT, GAP, ASK, BAR, SHUT, OPEN, THIN, INNER, ITEM, CUT = (chr(0xE000 + i) for i in range(10))
+# Placeholders: masked dot, blank line, terminator that is a question mark or a bar elsewhere, closing and opening quote,
+# blank before a closing quote, other masked terminator, list item's line break, boundary.
+DOT, GAP, ASK, SHUT, OPEN, THIN, INNER, ITEM, CUT = (chr(0xE000 + i) for i in range(9))
 
 # Abbreviations after which a sentence goes on, whatever follows.
 GO_ON = {
@@ -36,106 +36,111 @@ MAY_END = ["etc", "est", "U.S", "U.K", "a.m", "p.m", "Inc", "Ltd", "Co", "Jr", "
 # German words that follow an ordinal number.
 ORDINALS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Jahrhundert|Halbjahr|Woche|Tag|Auflage|Kapitel|Klasse"
 
-TERMS = r".!?…؟।॥。！？｡．" + ASK + BAR
+WIDE = "。！？｡．"
+TERMS = ".!?…؟।॥" + WIDE + ASK
 SHUTS = rf")\]}}）】〉》」』”’»{SHUT}{THIN}"
 OPENS = rf"(\[{{（【〈《「『“‘«„¿¡{OPEN}"
 #: What may begin a sentence behind a quotation, an ellipsis or an abbreviation: an upper-case letter, a digit, an opening mark or a single letter with a hyphen, as in x-axis.
 START = rf"(?:\p{{Lu}}|\p{{Nd}}|[{OPENS}]|\p{{L}}-\p{{L}})"
 CASELESS = r"\p{Lo}"
+BLANK = "[\\s ]"
+#: Blanks that are trimmed off a sentence.
+EDGES = "\t\n\x0b\x0c\r \x85                 　" + GAP + ITEM
 
 
-def _alternatives(words: list[str]) -> str:
+def _any(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.").replace(" ", r"\s") for w in sorted(words, key=len, reverse=True))
 
 
-def _inner_dots(words: list[str]) -> list[str]:
-    return [w for w in words if "." in w]
+def _dots() -> str:
+    """A pattern for dots that end nothing. It looks back from the dot, so that only dots cost anything."""
+    every = [w for words in GO_ON.values() for w in words]
+    first = r"(?<![\p{L}\p{N}])(?<!(?<![\p{L}\p{N}])\p{L}{1,2}\.)"  # not inside a word or an abbreviation
+    inner = []
+    for w in every + MAY_END:
+        parts = w.split(".")
+        inner += [rf"{_any(['.'.join(parts[:n])])}\.(?={_any(['.'.join(parts[n:])])}\.)" for n in range(1, len(parts))]
+    ends = rf"[{SHUTS}\"“]*(?:\s+(?:{START}|\"|{CASELESS})|\s*(?:[{GAP}{ITEM}]|$))"
+    cases = [
+        r"(?=\p{Nd})(?<=[\p{Nd}v_].)",  # decimals and versions
+        r"(?=[^\s.!?])(?<=://\S{0,300})",  # URLs
+        rf"(?<={first}(?:{'|'.join(sorted(set(inner)))}))",  # inside abbreviations
+        rf"(?=\s|\p{{N}}|[{OPENS}])(?<={first}(?:{_any(every)})\.)",
+        rf"(?<={first}(?:{_any(MAY_END)})\.)(?!{ends})",
+        rf"(?=\s+\p{{L}})(?<={first}\p{{Lu}}\.)",  # initials
+        rf"(?=\s+(?:{ORDINALS})\b)(?<=(?<![\p{{N}}.,])\d{{1,2}}\.)",
+        rf"(?=[ \t]+\S)(?<=(?:^|[\n{GAP}{ITEM}])[ \t]{{0,9}}\d{{1,2}}\.)",  # list marks
+    ]
+    return rf"[.．!?](?:{'|'.join(cases)})"
+
+
+def _ends() -> str:
+    """A pattern for terminators, with what closes behind them, that end a sentence: one rule per script and case."""
+    quiet = r"[)\]}）】〉》]*"
+    cases = [
+        # Scripts with blanks: before anything but a mark that goes on; behind an ellipsis or a closing quote only before what looks like a start.
+        rf"(?:[!?؟।॥{ASK}]|(?<!\.)\.(?!\.))+{quiet}(?={BLANK}+[^\s ,;:\-–—{SHUTS}{GAP}{ITEM}])",
+        rf"(?<![\s.…])(?:\.\.+|…+){quiet}(?={BLANK}+(?:{START}|{CASELESS}))",
+        rf"[{TERMS}]{quiet}[{SHUT}{THIN}”’»“\"]+{quiet}(?={BLANK}+{START})",
+        # A blank left out between two sentences.
+        rf"[.!?](?<=(?:[\p{{Ll}}\p{{M}}]{{2}}|\p{{Ll}}[  ]|[!?]).)[{SHUTS}]*(?=(?:\p{{Lu}}|[¿¡])[\p{{L}}\s])",
+        r"[!?](?<=\p{Nd}[!?]{1,3})(?=\p{Lu}\p{Ll})",
+        r"[.!?][)\]](?=\p{Lu}\p{Ll})",
+        rf"[।॥?!{ASK}]{quiet}(?=[ऀ-ॿ])",
+        rf"[.؟!](?<=[؀-ۿ].){quiet}(?=[؀-ۿ])",
+        rf"[.?!](?<=[가-힣].){quiet}(?=[가-힣])",
+        # Scripts without blanks: wide terminators end a sentence, behind a closing quote unless the clause goes on.
+        rf"[{WIDE}]+[.!?…{WIDE}]*{quiet}(?![{SHUTS}.!?…{WIDE}])",
+        rf"(?<![\p{{Nd}}…])…{{2,}}{quiet}(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])",
+        rf"(?:[{WIDE}]|……){quiet}[{SHUT}]+{quiet}(?=\s*[\p{{IsHan}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])(?!但|而|却|并|第[一二三四五]位|他|她|的|和|与)",
+    ]
+    return rf"(?=[{TERMS}])(?:{'|'.join(cases)})"
 
 
 def masked(text: Column) -> Column:
     """text with placeholders, as long as before."""
-    every = [w for words in GO_ON.values() for w in words]
-    t = F.regexp_replace(text, f"[{DOT}-{chr(0xE00F)}]", "x")
+    t = F.regexp_replace(text, "[-]", "x")
     t = F.regexp_replace(t, r"\n([\s &&[^\n]]*)(?=\n)", f"{GAP}$1")
-    t = F.regexp_replace(t, rf"(^|[\n{GAP}])([ \t]*\d{{1,2}})\.(?=[ \t]+\S)", f"$1$2{DOT}")
-    t = F.regexp_replace(t, rf"\n(?=[ \t]*(?:[•‣◦▪*\-–]|\d{{1,2}}[{DOT})])[ \t]+\S)", ITEM)
-    t = F.regexp_replace(t, r"[.!?](?=[^\s.!?])(?<=://\S{0,300})", DOT)
-    t = F.regexp_replace(t, r"[.．](?=\p{Nd})(?<=[\p{Nd}v_].)", DOT)
-    words = _inner_dots(every) + _inner_dots(MAY_END)
-    for n in range(1, max(w.count(".") for w in words) + 1):  # inner dots, one place after the other
-        pairs = sorted({(".".join(w.split(".")[:n]), ".".join(w.split(".")[n:])) for w in words if w.count(".") >= n})
-        both = "|".join(rf"{_alternatives([a]).replace(chr(92) + '.', DOT)}\.(?={_alternatives([b])}\.)" for a, b in pairs)
-        t = F.regexp_replace(t, rf"\.(?<=(?<![\p{{L}}\p{{N}}{DOT}])(?:{both}))", DOT)
-    plain = lambda ws: _alternatives([w.replace(".", DOT) for w in ws])
-    t = F.regexp_replace(t, rf"\.(?=\s|\p{{N}}|[{OPENS}])(?<=(?<![\p{{L}}\p{{N}}{DOT}])(?:{plain(every)})\.)", DOT)
-    t = F.regexp_replace(t, rf"\.(?<=(?<![\p{{L}}\p{{N}}{DOT}])(?:{plain(MAY_END)})\.)(?![{SHUTS}\"“]*(?:\s+(?:{START}|\"|{CASELESS})|[\s]*(?:[{GAP}{ITEM}]|$)))", DOT)
-    t = F.regexp_replace(t, rf"\.(?=\s+\p{{L}})(?<=(?<![\p{{L}}\p{{N}}{DOT}.])\p{{Lu}}\.)", DOT)
-    t = F.regexp_replace(t, rf"\.(?=\s+(?:{ORDINALS})\b)(?<=(?<![\p{{N}}.,{DOT}])\d{{1,2}}\.)", DOT)
-    t = F.regexp_replace(t, r"[;;](?=\s|$)(?<=\p{IsGreek}[\p{IsGreek}\p{M}\p{Nd}\s,%]{0,24}.)", ASK)
-    t = F.regexp_replace(t, r"\|(?!\|)(?<=[ऀ-ॿ]\s{0,2}\|)", BAR)
-    return _quotations(_ellipses(t))
-
-
-def _ellipses(t: Column) -> Column:
-    """Ellipses between numbers, or standing free, go on; each of their characters is masked."""
-    t = F.regexp_replace(t, r"…(?=…{0,5}\p{Nd})(?<=\p{Nd}…{1,6})", INNER)
-    t = F.regexp_replace(t, r"\.\.\.(?=\s)(?<=\s...)", INNER * 3)
-    return F.regexp_replace(t, r"…(?=\s)(?<=\s.)", INNER)
+    t = F.regexp_replace(t, r"\n(?=[ \t]*(?:[•‣◦▪*\-–]|\d{1,2}[.)])[ \t]+\S)", ITEM)
+    t = F.regexp_replace(t, _dots(), DOT)
+    t = F.regexp_replace(t, r"[;;](?=\s|$)(?<=\p{IsGreek}[\p{IsGreek}\p{M}\p{Nd}\s,%]{0,24}.)|\|(?!\|)(?<=[ऀ-ॿ]\s{0,2}\|)", ASK)
+    return _quotations(t)
 
 
 def _quotations(t: Column) -> Column:
-    """Cut into quotations and the rest; in a quotation, mask terminators before the last letter and tell its quotes apart."""
+    """Cut at quotations; in each, mask terminators before the last letter and tell its quotes apart."""
     pairs = [("“", "”"), ("„", "“"), ("„", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ('"', '"')]
-    body = lambda a, b: f"{a}[^{a}{b}{GAP}{ITEM}]*{b}"
-    tokens = F.regexp_extract_all(t, F.lit("(?s)(" + "|".join(body(a, b) for a, b in pairs) + r'|[^“„«「『"]+|.)'), F.lit(1))
+    quotation = "|".join(f"{a}[^{a}{b}{GAP}{ITEM}]+{b}" for a, b in pairs)
+
+    def one(q: Column) -> Column:
+        y = F.regexp_replace(q, rf"[{TERMS}](?=[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}])", INNER)
+        y = F.concat(F.lit(OPEN), F.substring(y, F.lit(2), F.length(y) - 2), F.lit(SHUT))
+        return F.regexp_replace(y, rf"{BLANK}(?={SHUT}$)", THIN)
 
-    def one(x: Column) -> Column:
-        quoted = (F.length(x) > 2) & F.regexp_like(x, F.lit('(?s)^[“„«「『"].*[”“»」』"]$'))
-        y = F.regexp_replace(x, rf"[{TERMS}](?=[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}])", INNER)
-        y = F.regexp_replace(F.regexp_replace(y, '[”“»」』"]$', SHUT), '^[“„«「『"]', OPEN)
-        return F.when(quoted, F.regexp_replace(y, rf"[   ](?={SHUT}$)", THIN)).otherwise(x)
+    def whole(x: Column) -> Column:
+        inside = F.transform(F.regexp_extract_all(x, F.lit(quotation), F.lit(0)), one)
+        parts = F.zip_with(F.split(x, quotation), inside, lambda a, q: F.concat(a, F.coalesce(q, F.lit(""))))
+        return F.array_join(parts, "")
 
-    return F.array_join(F.transform(tokens, one), "")
+    return F.transform(F.array(t), whole)[0]  # t is evaluated once
 
 
 def marked(t: Column) -> Column:
-    """The masked text with a marker behind every sentence."""
-    shut, space = f"[{SHUTS}]", r"[\s ]"
-    quiet = rf"[)\]}}）】〉》]*"
-    t = F.regexp_replace(t, rf"([{TERMS}]{quiet})(?={space}+(?:[^\s ]))", "$1") if False else t
-    steps = [
-        # Scripts with blanks: behind a closing quote or an ellipsis only before what looks like a start, otherwise before anything but a mark that goes on.
-        rf"((?:[!?؟।॥{ASK}{BAR}]|(?<!\.)\.(?!\.))+{quiet})(?={space}+[^\s ,;:\-–—{SHUTS}{GAP}{ITEM}])",
-        rf"((?:\.\.+|…+){quiet})(?={space}+(?:{START}|{CASELESS}))",
-        rf"([{TERMS}]{quiet}[{SHUT}{THIN}”’»“\"]+{quiet})(?={space}+{START})",
-        # A blank left out between two sentences.
-        rf"((?<=[\p{{Ll}}\p{{M}}]{{2}}|[\p{{Ll}}][  ])[.!?]+[{SHUTS}]*)(?=(?:\p{{Lu}}|[¿¡])[\p{{L}}\s])",
-        rf"([!?](?<=\p{{Nd}}[!?]{{1,3}}))(?=\p{{Lu}}\p{{Ll}})",
-        rf"([.!?][)\]])(?=\p{{Lu}}\p{{Ll}})",
-        rf"([।॥?!{BAR}]{quiet})(?=[ऀ-ॿ])",
-        rf"([.؟!](?<=[؀-ۿ].){quiet})(?=[؀-ۿ])",
-        rf"([.?!](?<=[가-힣].){quiet})(?=[가-힣])",
-        # Scripts without blanks: full-width terminators end a sentence, behind a closing quote unless the clause goes on.
-        rf"([。！？｡．]+[.!?…。！？｡．]*{quiet})(?![{SHUTS}.!?…。！？｡．{CUT}])",
-        rf"((?<!\p{{Nd}})…{{2,}}{quiet})(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])",
-        rf"((?:[。！？｡．]|……){quiet}[{SHUT}]+{quiet})(?=\s*[\p{{IsHan}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])(?!但|而|却|并|第[一二三四五]位|他|她|的|和|与)",
-    ]
-    for step in steps:
-        t = F.regexp_replace(t, step, f"$1{CUT}")
+    """The masked text with a marker behind every sentence; blank lines and list items' breaks are markers too."""
+    t = F.regexp_replace(t, _ends(), f"$0{CUT}")
     # Thai: a blank between two Thai letters, but for the sign of repetition.
-    t = F.regexp_replace(t, r"(?<=[฀-ๅ็-๿])([  \n]+)(?=[฀-ๅ็-๿])", f"$1{CUT}")
-    return F.regexp_replace(F.regexp_replace(t, f"[{GAP}]", f"\n{CUT}"), ITEM, f"\n{CUT}")
+    return F.regexp_replace(t, "[  \n]+(?=[฀-ๅ็-๿])(?<=[฀-ๅ็-๿][  \n]{1,9})", f"$0{CUT}")
 
 
 def sentence_spans(text: Column) -> Column:
     """array<struct<sent_start,sent_end>> of a text; see the module."""
-    pieces = F.split(marked(masked(text)), CUT)
+    pieces = F.split(marked(masked(text)), f"{CUT}|(?<=[{GAP}{ITEM}])")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sent_start:int,sent_end:int>>").alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         n = F.length(piece)
-        left = n - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
-        right = F.length(F.regexp_replace(piece, r"(?U)\s+$", ""))
+        left = n - F.length(F.ltrim(piece, F.lit(EDGES)))
+        right = F.length(F.rtrim(piece, F.lit(EDGES)))
         span = F.struct((acc["at"] + left).cast("int").alias("sent_start"), (acc["at"] + right).cast("int").alias("sent_end"))
         return F.struct((acc["at"] + n).alias("at"), F.when(left < n, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
