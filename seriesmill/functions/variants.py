@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seriesmill.functions.let import let
+
 
 def parsed(text: Column) -> Column:
     """The JSON value of a text; null for null, blank or broken texts, and for objects that repeat a key.
@@ -31,27 +33,19 @@ def elements(value: Column) -> Column:
 
 def simple_kind(value: Column) -> Column:
     """string, number, boolean, object, array or, for null, null."""
-    s = shape(value)
-    return (
-        F.when(value.isNull() | (s == "VOID"), F.lit(None).cast("string"))
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.startswith("OBJECT<"), "object")
-        .when(s.startswith("ARRAY<"), "array")
-        .otherwise("number")
-    )
+
+    def named(s: Column) -> Column:
+        out = F.when(s.isNull() | (s == "VOID"), F.lit(None).cast("string")).when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+        return out.when(s.startswith("OBJECT<"), "object").when(s.startswith("ARRAY<"), "array").otherwise("number")
+
+    return let(shape(value), named)
 
 
 def kind(value: Column) -> Column:
     """simple_kind, but null for empty arrays and objects, and for arrays with the kinds of their elements."""
-    k = simple_kind(value)
-    inner = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(elements(value), simple_kind), lambda x: x.isNotNull()))), "|")
-    return (
-        F.when((k == "array") & (F.size(elements(value)) > 0), F.concat(F.lit("array<"), inner, F.lit(">")))
-        .when(k == "array", F.lit(None).cast("string"))
-        .when((k == "object") & (shape(value) == "OBJECT<>"), F.lit(None).cast("string"))
-        .otherwise(k)
-    )
+    held = lambda a: F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(a, simple_kind), lambda x: x.isNotNull()))), "|")
+    array = let(elements(value), lambda a: F.when(F.size(a) > 0, F.concat(F.lit("array<"), held(a), F.lit(">"))))
+    return let(simple_kind(value), lambda k: F.when(k == "array", array).when(k == "object", F.when(shape(value) != "OBJECT<>", k)).otherwise(k))
 
 
 def canonical(value: Column) -> Column:
@@ -61,5 +55,4 @@ def canonical(value: Column) -> Column:
 
 def lexeme(value: Column) -> Column:
     """A string as it is, anything else as JSON; null for null."""
-    k = simple_kind(value)
-    return F.when(k == "string", F.try_variant_get(value, "$", "string")).when(k.isNotNull(), F.to_json(value))
+    return let(simple_kind(value), lambda k: F.when(k == "string", F.try_variant_get(value, "$", "string")).when(k.isNotNull(), F.to_json(value)))

@@ -20,8 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.bounded import collect_bounded
+from seriesmill.functions.bounded import collect_bounded, small_side
 from seriesmill.functions.variants import canonical, elements, entries, kind, lexeme, parsed, simple_kind
+from seriesmill.session import checkpointed
 
 FILE = ["stream_id", "file_no"]
 
@@ -67,7 +68,8 @@ def schema_changes(lines: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("was").isNull(), F.col("path"))).alias("come"),
         F.collect_list(F.when(F.col("kinds").isNotNull() & F.col("was").isNotNull(), F.col("path"))).alias("retyped"),
     )  # names only: as many as the two files have fields
-    named = _renames(rows, sets.where("size(gone) > 0 and size(come) > 0"))
+    sets = checkpointed(sets)  # a row per changed file, used three times
+    named = _renames(lines, sets.where("size(gone) > 0 and size(come) > 0"))
     renames = named.groupBy(*FILE).agg(F.collect_set(F.struct("old_field", "new_field")).alias("renamed"))
     none = F.lit("")
     change = lambda k, old, new: F.struct(F.lit(k).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
@@ -81,17 +83,23 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return sets.join(renames, FILE, "left").select(*FILE, F.explode(out).alias("c")).select(*FILE, "c.*")
 
 
-def _renames(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a field that left and one that entered under which all runs listed twice have one value."""
-    value = lambda x: F.struct(x["path"].alias("path"), canonical(x["value"]).alias("v"))
-    run = F.filter("fields", lambda x: x["path"] == "run_id")
-    listed = rows.select(*FILE, canonical(F.try_element_at(run, F.lit(1))["value"]).alias("run"), F.array_sort(F.transform("fields", value)).alias("has")).where("run is not null")
-    # Only runs in files next to each other matter; a line repeated in its file counts once.
-    listed = listed.distinct()
-    before = listed.select("stream_id", (F.col("file_no") + 1).alias("file_no"), "run", F.col("has").alias("had"))
-    both = before.join(listed, [*FILE, "run"]).join(sets.select(*FILE, "gone", "come"), FILE)
-    pick = lambda have, names, a: F.expr(f"explode(filter({have}, x -> array_contains({names}, x.path))) as {a}")
-    pairs = both.select(*FILE, "has", "come", pick("had", "gone", "o")).select(*FILE, "o", pick("has", "come", "n"))
+def _renames(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a field that left and one that entered under which all runs listed twice have one value. Only lines of
+    files that lost and gained fields take part, and only with those fields."""
+    sets = small_side(sets.select(*FILE, "gone", "come"))
+
+    def side(names: str, back: int) -> DataFrame:
+        files = sets.select("stream_id", (F.col("file_no") - back).alias("file_no"), names)
+        keep = F.filter("fields", lambda x: (x["path"] == "run_id") | F.array_contains(names, x["path"]))
+        d = lines.select(*FILE, "body").join(files, FILE).select(*FILE, names, path_values(F.col("body")).alias("fields")).select(*FILE, names, keep.alias("fields"))
+        run = F.try_element_at(F.filter("fields", lambda x: x["path"] == "run_id"), F.lit(1))
+        value = lambda x: F.struct(x["path"].alias("path"), canonical(x["value"]).alias("v"))
+        held = F.array_sort(F.transform(F.filter("fields", lambda x: F.array_contains(names, x["path"])), value))
+        d = d.select("stream_id", (F.col("file_no") + back).alias("file_no"), canonical(run["value"]).alias("run"), held.alias(f"_{names}"))
+        return d.where(f"run is not null and size(_{names}) > 0").distinct()  # a line repeated in its file counts once
+
+    both = side("gone", 1).join(side("come", 0), [*FILE, "run"])
+    pairs = both.select(*FILE, "_come", F.explode("_gone").alias("o")).select(*FILE, "o", F.explode("_come").alias("n"))
     pairs = pairs.groupBy(*FILE, F.col("o.path").alias("old_field"), F.col("n.path").alias("new_field")).agg(F.bool_and(F.col("o.v") == F.col("n.v")).alias("same"))
     return pairs.where("same").select(*FILE, "old_field", "new_field")
 
