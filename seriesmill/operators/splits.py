@@ -44,9 +44,9 @@ def ranked_take(rows: DataFrame, takes: DataFrame, strata: list[str], key: str,
     r = rows.withColumn("_k", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.substring("_k", 1, 4))
     hist = r.groupBy(*strata, "_b").agg(F.count("*").alias("_c"))
     hist = hist.withColumn("_off", F.sum("_c").over(W.partitionBy(*strata).orderBy("_b")) - F.col("_c"))
-    ends = hist.join(takes.select(*strata, "take"), strata).where("_off < take").select(*strata, "_b", "_off", "take")
+    ends = hist.join(takes.select(*strata, "take"), strata).where("_off < take").select(*strata, "_b", "_off", F.col("take").alias("_take"))
     placed = r.join(ends, [*strata, "_b"]).withColumn("_place", F.col("_off") + F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_k", key)))
-    return placed.where("_place <= take").drop("_k", "_b", "_off", "take")
+    return placed.where("_place <= _take").drop("_k", "_b", "_off", "_take")
 
 
 def stratified_sample(rows: DataFrame, n: int, seed: int | str = 42, strata: tuple[str, ...] = ("source", "chart_type"), key: str = "image_id") -> DataFrame:
