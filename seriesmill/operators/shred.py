@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.functions.let import let
 from seriesmill.functions.variants import elements, entries, lexeme, parsed, simple_kind
 
 
@@ -29,8 +30,7 @@ def _children(node: Column) -> Column:
 
     of_object = F.transform(entries(node["value"]), lambda e, i: child(e["key"], i, e["value"]))
     of_array = F.transform(elements(node["value"]), lambda v, i: child(F.lit(None).cast("string"), i, v))
-    kind = simple_kind(node["value"])
-    return F.when(kind == "object", of_object).when(kind == "array", of_array).otherwise(F.slice(F.array(node), 1, 0))
+    return let(simple_kind(node["value"]), lambda k: F.when(k == "object", of_object).when(k == "array", of_array).otherwise(F.slice(F.array(node), 1, 0)))
 
 
 def adjacency(records: DataFrame, key: str, text: str, max_depth: int = 8) -> DataFrame:
