@@ -127,8 +127,8 @@ ORACLE: dict[str, str] = {
     "p3_found": f"select image_id from ({_P3}) where carried",
     "p3_sample": _P3,
     "p5_found": "select spec_id, doc_id from documents, pack_specs where coalesce(strlen(text), 0) > capacity_tokens",
-    "p6_found": """with d as (select lower(trim(source, e' \\t\\n\\r\\u00a0')) as key, coalesce(strlen(text), 0)::hugeint as n from documents),
+    "p6_found": """with d as (select lower(trim(source, (' ' || chr(9) || chr(10) || chr(13) || chr(160)))) as key, coalesce(strlen(text), 0)::hugeint as n from documents),
         s as (select key, sum(n) as n from d where key is not null group by 1), w as (select coalesce(sum(n), 0) as n from d)
-        select mix_id, source from mix_targets left join s on s.key = lower(trim(source, e' \\t\\n\\r\\u00a0')), w
+        select mix_id, source from mix_targets left join s on s.key = lower(trim(source, (' ' || chr(9) || chr(10) || chr(13) || chr(160)))), w
         where coalesce(s.n, 0) * max_repeats * 1000000 < target_permille::hugeint * budget_permille * w.n""",
 }
