@@ -274,7 +274,7 @@ sc as (select ins.*, case when predicted_chart_type <> chart_type or len(ts) <>
   when holes > 0 then 0.0 when sb = 0 then case when se = 0 then 1.0 else 0.0 end else 2 - 2 / (1 + exp(-sqrt(se / sb))) end as score from ins left join ag using (instance_id))"""
 
 _TEXT = """lambda v: coalesce(case v.kind when 'bool' then case when v.s = 'True' then '1' else '0' end when 'int' then v.s when 'null' then 'None'
-  when 'float' then case when not isfinite(v.d) then '0' when v.d = floor(v.d) and abs(v.d) < 1e15 then v.d::decimal(20,0)::varchar else format('{:.6g}', v.d) end else replace(trim(v.s, e' \\t\\n\\r\\u00a0'), ';', ',') end, 'None')"""
+  when 'float' then case when not isfinite(v.d) then '0' when v.d = floor(v.d) and abs(v.d) < 1e15 then v.d::decimal(20,0)::varchar else format('{:.6g}', v.d) end else replace(trim(v.s, (' ' || chr(9) || chr(10) || chr(13) || chr(160))), ';', ',') end, 'None')"""
 _SEQUENCES = f"""{_TRUTH},
 tx as (select *, list_transform(x_series, {_TEXT}) as xt, list_transform(y_series, {_TEXT}) as yt from truth),
 tr as (select image_id, source, case when len(xt) = len(yt) then '<|BOS|><' || chart_type || '><x_start>' || array_to_string(xt, ';') || '<x_end><y_start>' || array_to_string(yt, ';') || '<y_end></s>' end as sequence,
