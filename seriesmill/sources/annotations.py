@@ -79,7 +79,7 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     top = parsed(F.col("value"))
     keyed = F.map_from_entries(entries(top))
     listed = F.coalesce(elements(top), *(elements(F.try_element_at(keyed, F.lit(k))) for k in ("holdout_ids", "image_ids", "ids")))
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     refused = F.when(keyed.isNotNull(), F.raise_error(F.lit("no list of ids")).cast("array<string>")).otherwise(lines)
     got = F.when(listed.isNotNull(), F.transform(listed, lambda v: F.try_variant_get(v, "$", "string"))).otherwise(refused)
     return text.select(F.explode(got).alias("image_id"))
