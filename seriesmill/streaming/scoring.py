@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.functions.metric import instance_score
 from seriesmill.functions.tokens import parsed_prediction
 from seriesmill.operators.evaluate import scored_instances
 
@@ -15,12 +16,7 @@ def scored_stream(raw: DataFrame, truth: DataFrame, late: str = "1 day") -> Data
     once = raw.withWatermark("at", late).dropDuplicatesWithinWatermark(["image_id"])
     p = once.withColumn("_p", parsed_prediction(F.col("raw"))).select("image_id", "at", "_p.chart_type", F.col("_p.x").alias("x_series"), F.col("_p.y").alias("y_series"))
     p = p.withColumnsRenamed({"chart_type": "_t", "x_series": "_x", "y_series": "_y"})
-    return _score(p.join(truth, "image_id"))
-
-
-def _score(d: DataFrame) -> DataFrame:
-    from seriesmill.functions.metric import instance_score
-
+    d = p.join(truth, "image_id")
     both = F.array(*(F.struct(F.lit(a).alias("axis"), instance_score(F.col("chart_type"), F.col(f"{a}_series"), F.col("_t"), F.col(f"_{a}")).alias("score")) for a in "xy"))
     d = d.select("image_id", "at", "source", "chart_type", F.col("_t").alias("predicted_chart_type"), F.explode(both).alias("_s"))
     return d.select("image_id", "_s.axis", "source", "chart_type", "predicted_chart_type", "_s.score", "at")
