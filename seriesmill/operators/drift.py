@@ -162,16 +162,34 @@ def _cast(value: Column, kind_: Column, type_: str) -> Column:
     return F.regexp_replace(number, ",", "").try_cast(type_)
 
 
-def consistent_runs(lines: DataFrame, families: dict[str, list[str]], targets: Sequence[Target] = RUN_COLUMNS) -> DataFrame:
+def consistent_table(lines: DataFrame, families: dict[str, list[str]], targets: Sequence[Target] = RUN_COLUMNS) -> DataFrame:
     """One row per run of a stream, from the last line that lists it (file_no, then line_id): typed columns, the name
-    each came from, and failed_casts (column: raw value)."""
+    each came from, and failed_casts (column: raw value). A body without a run_id has a row of its own under its line_id.
+
+    other_fields maps the path of every field that no column took, a second name of a column's field included, to its
+    JSON text in the last line that holds it. A line sends one row for its columns and one per other field, so that
+    a run is never gathered before it is aggregated."""
     rows = lines.where("stream_id is not null and file_no is not null").select("stream_id", "file_no", "line_id", path_values(F.col("body")).alias("fields"))
     get = lambda f: F.try_element_at(F.filter("fields", lambda x: x["path"] == f), F.lit(1))
     hits = {t.name: F.coalesce(*(get(f) for f in families.get(t.name, [t.field]))) for t in targets}
-    flat = rows.select(*FILE, "line_id", lexeme(get("run_id")["value"]).alias("run_id"), *(h.alias(f"_{n}") for n, h in hits.items())).where("run_id is not null")
-    typed = flat.select(*FILE, "line_id", "run_id", *(F.struct(_cast(F.col(f"_{t.name}.value"), F.col(f"_{t.name}.kind"), t.type).alias("v"), F.col(f"_{t.name}.path").alias("p"), F.to_json(f"_{t.name}.value").alias("r")).alias(t.name) for t in targets))
+    run = lexeme(get("run_id")["value"])
+    flat = rows.where("fields is not null").select(*FILE, "line_id", "fields", run.alias("run_id"), *(h.alias(f"_{n}") for n, h in hits.items()))
+    taken = F.array(F.lit("run_id"), *(F.col(f"_{t.name}.path") for t in targets))
+    held = F.filter("fields", lambda x: ~F.coalesce(F.array_contains(F.array_compact(taken), x["path"]), F.lit(False)))
+    other = F.transform(held, lambda x: F.struct(x["path"].alias("path"), F.to_json(x["value"]).alias("raw")))
+    none = F.array(F.lit(None).cast("struct<path:string,raw:string>"))
+    typed = flat.select(*FILE, "line_id", "run_id", F.concat(none, other).alias("other"), *(F.struct(_cast(F.col(f"_{t.name}.value"), F.col(f"_{t.name}.kind"), t.type).alias("v"), F.col(f"_{t.name}.path").alias("p"), F.to_json(f"_{t.name}.value").alias("r")).alias(t.name) for t in targets))
     rest = [t.name for t in targets]
-    last = typed.groupBy("stream_id", "run_id").agg(F.max_by(F.struct(*FILE[1:], *rest), F.struct("file_no", "line_id")).alias("r")).select("stream_id", "run_id", "r.*")
+    typed = typed.select("stream_id", "run_id", F.when(F.col("run_id").isNull(), F.col("line_id")).alias("line_id"), F.struct("file_no", "line_id").alias("_at"), F.struct("file_no", *rest).alias("_row"), F.explode("other").alias("_o"))
+    key, own = ["stream_id", "run_id", "line_id"], F.col("_o").isNull()
+    by_field = typed.groupBy(*key, F.col("_o.path").alias("path")).agg(F.max_by("_row", F.when(own, F.col("_at"))).alias("r"), F.max_by("_o.raw", F.when(~own, F.col("_at"))).alias("raw"))
+    pair = F.when(F.col("path").isNotNull(), F.struct("path", "raw"))
+    last = by_field.groupBy(*key).agg(F.first("r", ignorenulls=True).alias("r"), F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("other_fields")).select(*key, "r.*", "other_fields")
     bad = F.filter(F.array(*(F.when(F.col(f"{n}.r").isNotNull() & F.col(f"{n}.v").isNull(), F.concat(F.lit(f"{n}: "), F.col(f"{n}.r"))) for n in rest)), lambda x: x.isNotNull())
     origin = F.filter(F.array(*(F.when(F.col(f"{t.name}.p") != t.field, F.concat(F.lit(f"{t.name}: "), F.col(f"{t.name}.p"))) for t in targets)), lambda x: x.isNotNull())
-    return last.select("stream_id", "run_id", "file_no", *(F.col(f"{n}.v").alias(n) for n in rest), origin.alias("renamed_from"), bad.alias("failed_casts"))
+    return last.select(*key, "file_no", *(F.col(f"{n}.v").alias(n) for n in rest), origin.alias("renamed_from"), bad.alias("failed_casts"), "other_fields")
+
+
+def consistent_runs(lines: DataFrame, families: dict[str, list[str]], targets: Sequence[Target] = RUN_COLUMNS) -> DataFrame:
+    """The rows of consistent_table that are runs."""
+    return consistent_table(lines, families, targets).where("run_id is not null").drop("line_id")

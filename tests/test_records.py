@@ -110,6 +110,22 @@ def test_consistent_table(spark):
     assert drift.field_families(changes, t)["total_ms"] == ["latency.total_ms", "latency.millis", "ms"]
 
 
+def test_consistent_table_keeps_every_field(spark):
+    body = [
+        ("s", 1, 1, '{"run_id":"r1","config":{"mode":"full"},"latency":{"donut_ms":3.5},"new":[1,"x"]}'),
+        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full","runMode":"half"},"new":{"deep":{"a":1}}}'),
+        ("s", 2, 3, '{"config":{"mode":"nobody"},"z":"t"}'),
+        ("s", 2, 4, '{"config":{"mode":"other"}}'),
+        ("s", 2, 5, '{"config":'),
+    ]
+    got = drift.consistent_table(spark.createDataFrame(body, LINES), {"mode": ["config.mode", "config.runMode"]}, drift.RUN_COLUMNS[:1]).collect()
+    assert sorted((r.run_id or "", r.line_id or 0, r.mode, r.other_fields) for r in got) == [
+        ("", 3, "nobody", {"z": '"t"'}),
+        ("", 4, "other", {}),
+        ("r1", 0, "full", {"latency.donut_ms": "3.5", "new": '[1,"x"]', "config.runMode": '"half"', "new.deep": '{"a":1}'}),
+    ]
+
+
 def test_parser_refuses_what_is_cut_off_or_trails(spark):
     d = spark.createDataFrame([(t,) for t in ('{"a":1} x', '{"a":1', "", None, ' {"a":1} ', "[1", "7")], "t string")
     assert [r.v for r in d.select(parsed(C("t")).isNotNull().alias("v")).collect()] == [False, False, False, False, True, False, True]
