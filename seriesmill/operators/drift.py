@@ -163,8 +163,9 @@ def _cast(value: Column, kind_: Column, type_: str) -> Column:
 
 
 def consistent_table(lines: DataFrame, families: dict[str, list[str]], targets: Sequence[Target] = RUN_COLUMNS) -> DataFrame:
-    """One row per run of a stream, from the last line that lists it (file_no, then line_id): typed columns, the name
-    each came from, and failed_casts (column: raw value). A body without a run_id has a row of its own under its line_id.
+    """One row per run of a stream: typed columns, the name each came from, and failed_casts (column: raw value) of all
+    its lines. Each column takes the last line (file_no, then line_id) whose value casts, for a later line may leave a
+    field out; file_no is that of the run's last line. A body without a run_id has a row of its own under its line_id.
 
     other_fields maps the path of every field that no column took, a second name of a column's field included, to its
     JSON text in the last line that holds it. A line sends one row for its columns and one per other field, so that
@@ -180,12 +181,15 @@ def consistent_table(lines: DataFrame, families: dict[str, list[str]], targets:
     none = F.array(F.lit(None).cast("struct<path:string,raw:string>"))
     typed = flat.select(*FILE, "line_id", "run_id", F.concat(none, other).alias("other"), *(F.struct(_cast(F.col(f"_{t.name}.value"), F.col(f"_{t.name}.kind"), t.type).alias("v"), F.col(f"_{t.name}.path").alias("p"), F.to_json(f"_{t.name}.value").alias("r")).alias(t.name) for t in targets))
     rest = [t.name for t in targets]
-    typed = typed.select("stream_id", "run_id", F.when(F.col("run_id").isNull(), F.col("line_id")).alias("line_id"), F.struct("file_no", "line_id").alias("_at"), F.struct("file_no", *rest).alias("_row"), F.explode("other").alias("_o"))
+    cells = F.array(*(F.when(F.col(f"{n}.r").isNotNull() & F.col(f"{n}.v").isNull(), F.concat(F.lit(f"{n}: "), F.col(f"{n}.r"))) for n in rest))
+    typed = typed.select("stream_id", "run_id", F.when(F.col("run_id").isNull(), F.col("line_id")).alias("line_id"), F.struct("file_no", "line_id").alias("_at"), *rest, F.array_compact(cells).alias("_bad"), F.explode("other").alias("_o"))
     key, own = ["stream_id", "run_id", "line_id"], F.col("_o").isNull()
-    by_field = typed.groupBy(*key, F.col("_o.path").alias("path")).agg(F.max_by("_row", F.when(own, F.col("_at"))).alias("r"), F.max_by("_o.raw", F.when(~own, F.col("_at"))).alias("raw"))
+    ranked = {n: F.when(own & F.col(f"{n}.r").isNotNull(), F.struct(F.col(f"{n}.v").isNotNull().alias("cast"), "_at")) for n in rest}
+    best = [F.max_by(F.struct(f"{n}.v", f"{n}.p"), o).alias(n) for n, o in ranked.items()]
+    by_field = typed.groupBy(*key, F.col("_o.path").alias("path")).agg(F.max("_at.file_no").alias("file_no"), *best, F.collect_set(F.when(own & (F.size("_bad") > 0), F.col("_bad"))).alias("bad"), F.max_by("_o.raw", F.when(~own, F.col("_at"))).alias("raw"))
     pair = F.when(F.col("path").isNotNull(), F.struct("path", "raw"))
-    last = by_field.groupBy(*key).agg(F.first("r", ignorenulls=True).alias("r"), F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("other_fields")).select(*key, "r.*", "other_fields")
-    bad = F.filter(F.array(*(F.when(F.col(f"{n}.r").isNotNull() & F.col(f"{n}.v").isNull(), F.concat(F.lit(f"{n}: "), F.col(f"{n}.r"))) for n in rest)), lambda x: x.isNotNull())
+    last = by_field.groupBy(*key).agg(F.max("file_no").alias("file_no"), *(F.first(n, ignorenulls=True).alias(n) for n in rest), F.flatten(F.flatten(F.collect_list("bad"))).alias("bad"), F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("other_fields"))
+    bad = F.array_sort(F.array_distinct("bad"))
     origin = F.filter(F.array(*(F.when(F.col(f"{t.name}.p") != t.field, F.concat(F.lit(f"{t.name}: "), F.col(f"{t.name}.p"))) for t in targets)), lambda x: x.isNotNull())
     return last.select(*key, "file_no", *(F.col(f"{n}.v").alias(n) for n in rest), origin.alias("renamed_from"), bad.alias("failed_casts"), "other_fields")
 

@@ -126,6 +126,20 @@ def test_consistent_table_keeps_every_field(spark):
     ]
 
 
+def test_consistent_table_chooses_by_column(spark):
+    body = [
+        ("s", 1, 9, '{"run_id":"r1","config":{"mode":"old"},"caveats":["a"],"latency":{"total_ms":"soon"}}'),
+        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"},"latency":{"millis":7}}'),
+        ("s", 3, 1, '{"run_id":"r1","config":{"mode":null},"latency":{"total_ms":"later"}}'),
+    ]
+    families = {"total_ms": ["latency.total_ms", "latency.millis"]}
+    d = spark.createDataFrame(body, LINES)
+    r = drift.consistent_runs(d.unionByName(d).repartition(3), families, drift.RUN_COLUMNS[:3]).collect()
+    assert [(x.file_no, x.mode, x.caveats, x.total_ms, x.renamed_from, x.failed_casts) for x in r] == [
+        (3, "full", ["a"], 7.0, ["total_ms: latency.millis"], ['total_ms: "later"', 'total_ms: "soon"'])
+    ]
+
+
 def test_parser_refuses_what_is_cut_off_or_trails(spark):
     d = spark.createDataFrame([(t,) for t in ('{"a":1} x', '{"a":1', "", None, ' {"a":1} ', "[1", "7")], "t string")
     assert [r.v for r in d.select(parsed(C("t")).isNotNull().alias("v")).collect()] == [False, False, False, False, True, False, True]
