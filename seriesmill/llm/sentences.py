@@ -79,7 +79,8 @@ def _ends() -> str:
     quiet = r"[)\]}）】〉》]*"
     cases = [
         # Scripts with blanks: before anything but a mark that goes on; behind an ellipsis or a closing quote only before what looks like a start.
-        rf"(?:[!?؟।॥{ASK}]|(?<!\.)\.(?!\.))+{quiet}(?={BLANK}+[^\s ,;:\-–—{SHUTS}{GAP}{ITEM}])",
+        # Tried where a run of terminators begins, and possessive: neither recursion nor another try at each of a run's places.
+        rf"(?<![!?؟।॥{ASK}])(?<!(?<!\.)\.(?!\.))(?:[!?؟।॥{ASK}]++|(?<!\.)\.(?!\.))++{quiet}(?={BLANK}+[^\s ,;:\-–—{SHUTS}{GAP}{ITEM}])",
         rf"(?<![\s.…])(?:\.\.+|…+){quiet}(?={BLANK}+(?:{START}|{CASELESS}))",
         rf"[{TERMS}]{quiet}[{SHUT}{THIN}”’»“\"]+{quiet}(?={BLANK}+{START})",
         # A blank left out between two sentences.
@@ -90,7 +91,7 @@ def _ends() -> str:
         rf"[.؟!](?<=[؀-ۿ].){quiet}(?=[؀-ۿ])",
         rf"[.?!](?<=[가-힣].){quiet}(?=[가-힣])",
         # Scripts without blanks: wide terminators end a sentence, behind a closing quote unless the clause goes on.
-        rf"[{WIDE}]+[.!?…{WIDE}]*{quiet}(?![{SHUTS}.!?…{WIDE}])",
+        rf"(?<![{WIDE}])[{WIDE}]++[.!?…{WIDE}]*+{quiet}(?![{SHUTS}.!?…{WIDE}])",
         rf"(?<![\p{{Nd}}…])…{{2,}}{quiet}(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])",
         rf"(?:[{WIDE}]|……){quiet}[{SHUT}]+{quiet}(?=\s*[\p{{IsHan}}\p{{IsKatakana}}\p{{Nd}}{OPENS}a-zA-Z])(?!但|而|却|并|第[一二三四五]位|他|她|的|和|与)",
     ]

@@ -216,3 +216,16 @@ def test_sentences_cover_the_text(spark):
             covered |= set(range(a, b))
             last = b
         assert all(t[k].isspace() for k in range(len(t)) if k not in covered), repr(t[:80])
+
+
+def test_sentences_of_long_runs(spark):
+    n = 100_000
+    runs = ["!" * n, "?!" * (n // 2), "?." * (n // 2), "。" * n]
+    texts = [f"{a}{r}{b}" for r in runs for a, b in (("", ""), ("Ab", " Next one"), ("Ab", "x end"))]
+    got = defaultdict(list)
+    for x in sentences.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        got[x.doc_id].append((x.sent_start, x.sent_end))
+    cut = lambda i: [(0, n + 2), (n + 3, n + 11)]
+    for k in range(3):
+        assert got[3 * k] == [(0, n)] and sorted(got[3 * k + 1]) == cut(k) and got[3 * k + 2] == [(0, n + 7)]
+    assert got[9] == [(0, n)] and sorted(got[10]) == cut(3) and sorted(got[11]) == [(0, n + 2), (n + 2, n + 7)]
