@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import epoch_sample, mixture, packing, quota_sample, sentences
+from seriesmill.session import shared_folder
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,7 +31,9 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _p3(spark: SparkSession, sf: str) -> DataFrame:
-    return epoch_sample.image_sample(*(_t(spark, sf, n) for n in ("image_refs", "annotations", "picks")))
+    """The ledger of these tables is kept in the shared folder, so that later calls only add to the sample."""
+    ledger = f"{shared_folder(spark)}/ledgers/{hashlib.md5(os.path.abspath(sf).encode()).hexdigest()}"
+    return epoch_sample.image_sample(*(_t(spark, sf, n) for n in ("image_refs", "annotations", "picks")), ledger=ledger)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

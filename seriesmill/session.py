@@ -22,6 +22,20 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle: int = 8) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share and that outlives a session (spark.checkpoint.dir); only where none is set,
+    the session's checkpoint folder, as checkpointed sets it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if context.getCheckpointDir() is None:
+            if not (context.master or "").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="seriesmill-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share (spark.checkpoint.dir); only where none is set, as in
     tests, a temporary folder of this machine is taken, and never on a cluster."""

@@ -69,6 +69,21 @@ def test_image_sample_keeps_picks(spark):
     assert epoch_sample.image_sample(*(a.where("false") for a in args)).count() == 0
 
 
+def test_image_sample_stores_its_ledger(spark, tmp_path):
+    h = [f"{i:012x}" for i in range(900)]
+    at = lambda ids, c, t=10: spark.createDataFrame([(x, t) for x in ids], "image_id string, t int").select("image_id", F.timestamp_seconds("t").alias(c))
+    draw = lambda taken: at(taken, "picked_at", 50).withColumn("draw_no", F.lit(1))
+    sample = lambda ids, taken, rate: {r.image_id: (r.epoch, r.rate, r.carried) for r in epoch_sample.image_sample(at(ids, "loaded_at").withColumn("path", F.lit(None).cast("string")), at(ids, "loaded_at"), draw(taken), rate, ledger=f"{tmp_path}/ledger").collect()}
+    one = sample(h[:400], h[:1], 0.5)
+    assert one[h[0]] == (1, 1.0, True) and 150 < len(one) < 250 and one == sample(h[:400], h[:1], 0.05)
+    late = next(x for x in h[100:400] if x not in one)
+    two = sample(h[100:], [late], 0.05)
+    assert {x: two[x] for x in one} == one and two[late] == (1, 1.0, True)
+    new = {x: v for x, v in two.items() if x not in one and x != late}
+    assert 5 < len(new) < 60 and set(new.values()) == {(2, 0.05, False)} and set(new) <= set(h[400:])
+    assert sample(h[:0], [], 0.9) == two
+
+
 DOCS = "doc_id bigint, text string, source string"
 
 
