@@ -200,6 +200,22 @@ TEXTS = {
     "هل هذا؟ نعم؛ لا. د. B. قال.": ["هل هذا؟", "نعم؛ لا.", "د. B. قال."],
     "이것은 책이다. \"누구?\"라고 했다. 3.5개": ["이것은 책이다.", "\"누구?\"라고 했다.", "3.5개"],
     "ค่าอยู่ที่ 14.90 หน่วย รูปที่ 3 ไม่มี ป้ายต่าง ๆ อ่านไม่ออก": ["ค่าอยู่ที่ 14.90 หน่วย", "รูปที่ 3 ไม่มี", "ป้ายต่าง ๆ อ่านไม่ออก"],
+    "The answer was no. We moved on. Close the tab. Open the file.": ["The answer was no.", "We moved on.", "Close the tab.", "Open the file."],
+    "Dijo que no. Luego miramos la tabla. Despues nada.": ["Dijo que no.", "Luego miramos la tabla.", "Despues nada."],
+    "He picked option M. Then he left. Mr. M. Then was late.": ["He picked option M.", "Then he left.", "Mr. M.", "Then was late."],
+    "We climbed Mt. Everest once. Sgt. Smith of the U.S. Army came. It is in the U.S. Scores fell.": ["We climbed Mt. Everest once.", "Sgt. Smith of the U.S. Army came.", "It is in the U.S.", "Scores fell."],
+    "Exmo. Sr. Costa chegou. Veja cfr. fig. 2 e o sig. Rossi. Depois. La sig. Bianchi no. Ecco.": ["Exmo. Sr. Costa chegou.", "Veja cfr. fig. 2 e o sig. Rossi.", "Depois.", "La sig. Bianchi no.", "Ecco."],
+    f"See http://a.b/{'x' * 400}/report.Html now. Next.": [f"See http://a.b/{'x' * 400}/report.Html now.", "Next."],
+    f"Items\n{' ' * 12}3. item one\n{' ' * 12}100. item two\n1000. item three": ["Items", "3. item one", "100. item two", "1000. item three"],
+    "100. first\n101. second. In the year\n1973. Then it rose.": ["100. first", "101. second.", "In the year\n1973.", "Then it rose."],
+    f"Το plot {'είναι ' * 30}25 km; Ναι. 由此。Γιατί; Ναι": [f"Το plot {'είναι ' * 30}25 km;", "Ναι.", "由此。", "Γιατί;", "Ναι"],
+    "Он живёт в г. Москва. В 1966 г. Показатель вырос. Дал им. Потом ушёл. Длина 5 см. Это мало.": ["Он живёт в г. Москва.", "В 1966 г.", "Показатель вырос.", "Дал им.", "Потом ушёл.", "Длина 5 см.", "Это мало."],
+    "5!!!!Next thing. op. cit. is known. it was nice. it is": ["5!!!!", "Next thing.", "op. cit. is known.", "it was nice.", "it is"],
+    "「行くの？」それは違う。「はい。」と言った。": ["「行くの？」", "それは違う。", "「はい。」と言った。"],
+    "“缺。”他说。然后走了。“好。”第六位读者问。“完。”图表结束。": ["“缺。”他说。", "然后走了。", "“好。”第六位读者问。", "“完。”", "图表结束。"],
+    "क     | ख है।": ["क     |", "ख है।"],
+    f"ก{' ' * 20}ข": ["ก", "ข"],
+    "Am 100. Tag kam er. Im Jahr 1983. Januar war kalt.": ["Am 100. Tag kam er.", "Im Jahr 1983.", "Januar war kalt."],
     "No end": ["No end"],
     "😀 a😀. B \ue000c.": ["😀 a😀.", "B \ue000c."],
     "": [],
@@ -233,6 +249,29 @@ def test_sentences_cover_the_text(spark):
         assert all(t[k].isspace() for k in range(len(t)) if k not in covered), repr(t[:80])
 
 
+def test_sentence_spans_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        d = spark.createDataFrame([(1, "This is it. " * n)], "doc_id int, text string")
+        best = []
+        for _ in range(2):
+            began = time.time()
+            assert sentences.sentences(d).count() == n
+            best.append(time.time() - began)
+        return min(best)
+
+    took(1000)
+    assert took(64_000) < 5 * took(16_000) + 1
+
+
+def test_running_sums(spark):
+    r = random.Random(3)
+    lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 3, 7, 8, 9, 1000)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, a array<int>").select("i", sentences.running_sums(C("a")).alias("s")).collect()
+    assert {x.i: x.s for x in got} == {i: [sum(a[: k + 1]) for k in range(len(a))] for i, a in enumerate(lists)}
+
+
 def test_sentences_of_long_runs(spark):
     n = 100_000
     runs = ["!" * n, "?!" * (n // 2), "?." * (n // 2), "。" * n]
