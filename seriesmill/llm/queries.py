@@ -101,17 +101,18 @@ t0 as (select t.batch_id, t.source, t.chart_type, target_permille::bigint as sha
   from sample_targets t left join counts c on t.batch_id = c.batch_id and t.source = c.source and t.chart_type = c.chart_type),
 t1 as (select *, greatest(fl, base) as required from t0)"""
 
+# The level of every bend is tried against the definition of the total, by a join; nothing is summed up along the way.
 _QUOTAS = f"""{_LATEST},
-t2 as (select *, least(required, available) as q0, rest > 0 and available > least(required, available) and base >= fl as op from t1),
-t3 as (select *, greatest((sum(share) over (partition by batch_id) * max(size) over (partition by batch_id)) // 1000, sum(q0) over (partition by batch_id)) as goal,
-  sum(q0) over (partition by batch_id) as s0, row_number() over (partition by batch_id order by op desc, rest desc, source, chart_type) as rk from t2),
-t4 as (select *, q0 + case when op and rk <= goal - s0 then 1 else 0 end as q1 from t3),
-t5 as (select *, goal - sum(q1) over (partition by batch_id) as left1, available - q1 as room1 from t4),
-t6 as (select *, sum(case when room1 > 0 then share else 0 end) over (partition by batch_id) as ws from t5),
-t7 as (select *, q1 + case when ws > 0 then least(room1, floor(left1 * (case when room1 > 0 then share else 0 end) / ws)::bigint) else 0 end as q2 from t6),
-t8 as (select *, goal - sum(q2) over (partition by batch_id) as left2, case when share > 0 then available - q2 else 0 end as room2 from t7),
-t9 as (select *, coalesce(sum(room2) over (partition by batch_id order by rest desc, source, chart_type rows between unbounded preceding and 1 preceding), 0) as before from t8),
-quotas as (select batch_id, source, chart_type, required, available, (q2 + greatest(0, least(room2, left2 - before)))::bigint as quota, greatest(0, required - available) as short from t9)"""
+b as (select *, least(required, available)::hugeint as lo, available::hugeint as hi, greatest(sum(share) over g * max(size) over g // 1000, sum(least(required, available)) over g)::hugeint as goal
+  from t1 window g as (partition by batch_id)),
+bends as (select distinct batch_id, goal, v as p, share::hugeint as q from (select batch_id, goal, share, lo as v from b where share > 0 union all select batch_id, goal, share, hi from b where share > 0)),
+sums as (select e.batch_id, e.p, e.q, sum(case when share > 0 then least(hi * e.q, greatest(lo * e.q, e.p * share)) else lo * e.q end) as total from bends e join b using (batch_id) group by e.batch_id, e.p, e.q, e.goal having total <= e.goal * e.q),
+best as (select * from (select *, row_number() over (partition by batch_id order by p::double / q::double desc) as rn from sums) where rn = 1),
+z as (select b.*, p, q, coalesce(share > 0 and lo * q <= p * share and p * share < hi * q, false) as grows from b left join best using (batch_id)),
+y as (select *, goal - sum(case when grows then 0 when share > 0 and p * share >= hi * q then hi else lo end) over (partition by batch_id) as rem, sum(case when grows then share::hugeint else 0 end) over (partition by batch_id) as w from z),
+x as (select *, case when grows then rem * share // w when share > 0 and p * share >= hi * q then hi else lo end as q1, case when grows then rem * share % w else 0 end as frac from y),
+v as (select *, goal - sum(q1) over (partition by batch_id) as more, row_number() over (partition by batch_id order by frac desc, source, chart_type) as rk from x),
+quotas as (select batch_id, source, chart_type, required, available, (q1 + case when frac > 0 and rk <= more then 1 else 0 end)::bigint as quota, greatest(0, required - available) as short from v)"""
 
 _P3 = f"""
 with r as (select {_ID.format('coalesce(image_id, path)')} as image_id, min(loaded_at) as t from image_refs group by 1),

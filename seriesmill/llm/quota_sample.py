@@ -34,42 +34,65 @@ def quotas(counts: DataFrame, targets: DataFrame, group: list[str], category: li
 
     counts has group, category and n. required is the larger of the floor and the share of the sample, rounded down;
     short is what is missing for want of items. A group draws the sum of its shares of the sample size, or more where
-    floors ask for more. Slots go to required items, then one by one to the largest remainders, then what capped
-    categories left goes to the others in proportion, the rest in order of remainders."""
+    floors ask for more. Quotas are proportional to shares, but no less than what is required (if there is that much)
+    and no more than what is available: one level serves all categories that neither bound holds, and is found exactly,
+    as if slots of categories that run out were shared again and again. Fractions go to the largest remainders."""
     by = group + category
     long = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0))
     t = targets.groupBy(*by).agg(*(F.max(long(c)).alias(a) for c, a in ((share, "_share"), (floor, "_floor"), (size, "_size"))))
     t = t.join(counts.where(F.expr(" and ".join(f"{c} is not null" for c in by))).select(*by, F.col("n").alias("_n")), by, "left")
-    g, over = W.partitionBy(*group), lambda *o: W.partitionBy(*group).orderBy(*o, *category)
-    t = t.select(*by, "_share", "_floor", "_size", F.coalesce("_n", F.lit(0)).cast("bigint").alias("available"), F.expr("_share * _size div 1000").alias("_base"), F.expr("_share * _size % 1000").alias("_rest"))
-    t = t.withColumn("required", F.greatest("_floor", "_base")).withColumn("_q", F.least("required", "available"))
-    t = t.withColumn("_goal", F.greatest(F.floor(F.sum("_share").over(g) * F.max("_size").over(g) / 1000), F.sum("_q").over(g)))
-    # Largest remainders.
-    t = t.withColumn("_open", (F.col("_rest") > 0) & (F.col("available") > F.col("_q")) & (F.col("_base") >= F.col("_floor")))
-    t = t.withColumn("_rank", F.row_number().over(over(F.desc("_open"), F.desc("_rest")))).withColumn("_left", F.col("_goal") - F.sum("_q").over(g))
-    t = t.withColumn("_q", F.col("_q") + (F.col("_open") & (F.col("_rank") <= F.col("_left"))).cast("bigint"))
-    # What caps left over, in proportion, then in order.
-    t = t.withColumn("_left", F.col("_goal") - F.sum("_q").over(g)).withColumn("_room", F.col("available") - F.col("_q"))
-    t = t.withColumn("_w", F.when(F.col("_room") > 0, F.col("_share")).otherwise(0)).withColumn("_ws", F.sum("_w").over(g))
-    t = t.withColumn("_q", F.col("_q") + F.when(F.col("_ws") > 0, F.least("_room", F.floor(F.col("_left") * F.col("_w") / F.col("_ws")))).otherwise(0))
-    t = t.withColumn("_left", F.col("_goal") - F.sum("_q").over(g)).withColumn("_room", F.when(F.col("_share") > 0, F.col("available") - F.col("_q")).otherwise(0))
-    t = t.withColumn("_before", F.coalesce(F.sum("_room").over(over(F.desc("_rest")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("quota", F.col("_q") + F.greatest(F.lit(0), F.least("_room", F.col("_left") - F.col("_before"))))
-    return t.select(*by, "required", "available", F.col("quota").cast("bigint").alias("quota"), F.greatest(F.lit(0), F.col("required") - F.col("available")).alias("short"))
+    g = W.partitionBy(*group)
+    t = t.select(*by, F.greatest("_share", F.lit(0)).alias("_share"), "_floor", "_size", F.coalesce("_n", F.lit(0)).cast("bigint").alias("available"))
+    t = t.withColumn("required", F.greatest("_floor", F.expr("_share * _size div 1000"))).withColumn("_lo", F.least("required", "available"))
+    t = t.withColumn("_goal", F.greatest(F.expr("sum(_share) over g * max(_size) over g div 1000".replace("over g", f"over (partition by {', '.join(group)})")), F.sum("_lo").over(g)))
+    # As the level (slots a share) rises, a category begins to grow at _lo / _share and stops at available / _share. The
+    # total at a bend is base + level * slope; the last bend that does not exceed the goal tells which categories grow.
+    bend = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("sign"))
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    bends = t.where("_share > 0").withColumn("_lows", F.sum("_lo").over(g)).select(*group, "_goal", "_share", F.explode(F.array(bend("_lo", 1), bend("available", -1))).alias("_b"))
+    # The lower bounds of categories without a share never change.
+    fixed = t.groupBy(*group).agg(F.sum("_lo").alias("_lows"))
+    level = W.partitionBy(*group).orderBy("_level").rangeBetween(W.unboundedPreceding, 0)
+    bends = bends.join(fixed, group).withColumn("_level", (big("_b.at") / big("_share")).cast("decimal(38,12)"))
+    bends = bends.withColumn("_slope", F.sum(F.col("_b.sign") * F.col("_share")).over(level)).withColumn("_base", F.col("_lows") - F.sum(F.col("_b.sign") * F.col("_b.at")).over(level))
+    reached = big("_b.at") * big("_slope") <= (F.col("_goal") - F.col("_base")).cast("decimal(19,0)") * big("_share")
+    last = bends.where(reached).groupBy(*group).agg(F.max_by(F.struct("_slope", "_base", "_level"), "_level").alias("_l"))
+    t = t.join(last, group, "left").withColumn("_left", (F.col("_goal") - F.col("_l._base")).cast("decimal(19,0)"))
+    # Between its bounds a category has its share of what the others leave.
+    exact = big("_left") * big("_share")
+    grows = (F.col("_l._slope") > 0) & (F.col("_share") > 0) & (exact >= big("_lo") * big("_l._slope")) & (exact < big("available") * big("_l._slope"))
+    part = F.expr("cast(cast(_left as decimal(19,0)) * cast(_share as decimal(19,0)) as decimal(38,0))")
+    whole = F.when(grows, part - part % F.nullif(big("_l._slope"), F.lit(0)))
+    t = t.withColumn("_rest", F.when(grows, part % F.nullif(big("_l._slope"), F.lit(0)))).withColumn("_q", F.when(grows, F.round(whole / F.nullif(big("_l._slope"), F.lit(0)), 0).cast("bigint")).when((F.col("_share") > 0) & ((F.col("_l._slope") <= 0) | (exact >= big("available") * big("_l._slope"))), F.col("available")).otherwise(F.col("_lo")))
+    t = t.withColumn("_open", F.coalesce(F.col("_rest") > 0, F.lit(False))).withColumn("_more", F.col("_goal") - F.sum("_q").over(g))
+    t = t.withColumn("_rank", F.row_number().over(g.orderBy(F.desc("_open"), F.desc("_rest"), *category)))
+    quota = F.col("_q") + (F.col("_open") & (F.col("_rank") <= F.col("_more"))).cast("bigint")
+    return t.select(*by, "required", "available", quota.alias("quota"), F.greatest(F.lit(0), F.col("required") - F.col("available")).alias("short"))
 
 
 def random_key(item: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), item.cast("string")))
 
 
-def smallest_keys(items: DataFrame, report: DataFrame, by: list[str], item: str, seed: int = 0) -> DataFrame:
-    """by and item of the quota items with the smallest random keys per category."""
+def _histogram(items: DataFrame, by: list[str], item: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """by, item, _k (random key) and _b (its bucket) of the items, and _n of them by bucket."""
     keyed = items.where(F.col(item).isNotNull()).select(*by, item, random_key(F.col(item), seed).alias("_k")).withColumn("_b", F.substring("_k", 1, 4))
-    hist = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    return keyed, keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+
+
+def smallest_keys(items: DataFrame, report: DataFrame, by: list[str], item: str, seed: int = 0) -> DataFrame:
+    """by and item of the quota items with the smallest random keys per category. Whole buckets are taken as they are;
+    only rows of the bucket in which a quota ends are ranked."""
+    return _taken(*_histogram(items, by, item, seed), report, by, item)
+
+
+def _taken(keyed: DataFrame, hist: DataFrame, report: DataFrame, by: list[str], item: str) -> DataFrame:
     hist = hist.withColumn("_to", F.sum("_n").over(W.partitionBy(*by).orderBy("_b")))
-    ends = hist.join(report.where("quota > 0").select(*by, "quota"), by).where("_to - _n < quota").select(*by, "_b", F.least(F.col("_n"), F.expr("quota - (_to - _n)")).alias("_take"))
-    kept = keyed.join(ends, [*by, "_b"]).withColumn("_r", F.row_number().over(W.partitionBy(*by, "_b").orderBy("_k", item)))
-    return kept.where("_r <= _take").select(*by, item)
+    ends = hist.join(report.where("quota > 0").select(*by, "quota"), by).where("_to - _n < quota")
+    ends = ends.groupBy(*by).agg(F.max("_b").alias("_end"), F.max_by(F.expr("quota - (_to - _n)"), "_b").alias("_take"))
+    near = keyed.join(ends, by).where("_b <= _end")
+    edge = near.where("_b = _end").withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_k", item)))
+    return near.where("_b < _end").select(*by, item).unionByName(edge.where("_r <= _take").select(*by, item))
 
 
 GROUP, CATEGORY = ["batch_id"], ["source", "chart_type"]
@@ -82,5 +105,9 @@ def batch_report(annotations: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def batch_sample(annotations: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """batch_id, source, chart_type, image_id of the sample."""
-    return smallest_keys(latest_labels(annotations), batch_report(annotations, targets), GROUP + CATEGORY, "image_id", seed)
+    """batch_id, source, chart_type, image_id of the sample. Counts come from the histogram of keys, so that one grouping
+    of annotations by image serves quotas and sample."""
+    by = GROUP + CATEGORY
+    keyed, hist = _histogram(latest_labels(annotations).where(F.expr(" and ".join(f"{c} is not null" for c in by))), by, "image_id", seed)
+    report = quotas(hist.groupBy(*by).agg(F.sum("_n").alias("n")), targets, GROUP, CATEGORY)
+    return _taken(keyed, hist, report, by, "image_id")

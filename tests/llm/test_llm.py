@@ -27,6 +27,44 @@ def test_quotas(spark):
     assert report(spark, [], [("g", "a", 1000, 0, 10)]) == {"a": (10, 0, 0, 10)} and report(spark, [("g", "a", 1)], []) == {}
 
 
+def by_levels(cats, size):
+    """Quotas by bisection over exact fractions: cats is {c: (share, floor, available)}."""
+    from fractions import Fraction as Q
+
+    lo = {c: min(max(f, s * size // 1000), a) for c, (s, f, a) in cats.items()}
+    goal = max(sum(s for s, _, _ in cats.values()) * size // 1000, sum(lo.values()))
+    at = lambda x: {c: max(Q(lo[c]), min(Q(a), x * s)) if s else Q(lo[c]) for c, (s, _, a) in cats.items()}
+    a, b = Q(0), Q(max([1, *(a for _, _, a in cats.values())]))
+    if sum(at(b).values()) <= goal:
+        return {c: int(v) for c, v in at(b).items()}
+    for _ in range(60):
+        m = (a + b) / 2
+        a, b = (m, b) if sum(at(m).values()) <= goal else (a, m)
+    inside = [c for c, (s, _, v) in cats.items() if s and lo[c] <= b * s and a * s < v and max(lo[c], min(v, a * s)) != max(lo[c], min(v, b * s))]
+    fixed = {c: v for c, v in at(a).items() if c not in inside}
+    left = goal - sum(int(round(v)) for v in fixed.values())
+    w = sum(cats[c][0] for c in inside)
+    out = {c: int(round(v)) for c, v in fixed.items()} | {c: left * cats[c][0] // w for c in inside}
+    rest = sorted((c for c in inside if left * cats[c][0] % w), key=lambda c: (-(left * cats[c][0] % w), c))
+    for c in rest[: goal - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
+def test_quotas_with_chained_caps(spark):
+    t, n, want, r = [], [], {}, random.Random(11)
+    groups = [({"A": (500, 0, 10), "B": (100, 0, 150), "C": (200, 0, 1000), "D": (200, 0, 1000)}, 1000)]
+    groups += [({f"c{i}": (r.choice([0, 1, 7, 50, 200, 333]), r.choice([0, 0, 3, 40]), r.choice([0, 1, 5, 30, 90, 400])) for i in range(r.randint(1, 9))}, r.choice([1, 10, 97, 300])) for _ in range(150)]
+    for g, (cats, size) in enumerate(groups):
+        for c, (s, f, a) in cats.items():
+            t.append((str(g), c, s, f, size))
+            n.append((str(g), c, a))
+        want |= {(str(g), c): q for c, q in by_levels(cats, size).items()}
+    got = {(x.g, x.c): x.quota for x in quota_sample.quotas(spark.createDataFrame(n, COUNTS), spark.createDataFrame(t, TARGETS), ["g"], ["c"]).collect()}
+    assert {c: q for (g, c), q in got.items() if g == "0"} == {"A": 10, "B": 150, "C": 420, "D": 420}
+    assert got == want
+
+
 def test_quota_sample_is_exact_and_stable(spark):
     items = spark.createDataFrame([("g", "hot" if i % 3 else "rare", f"i{i}") for i in range(3000)] + [(None, "hot", "x"), ("g", None, "y"), ("g", "hot", None)], "g string, c string, id string")
     rep = spark.createDataFrame([("g", "hot", 700), ("g", "rare", 5)], "g string, c string, quota bigint")
