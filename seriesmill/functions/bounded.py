@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from seriesmill.session import checkpointed
+
 
 def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     """The rows of a table that its contract bounds; an error, not a cut, beyond the bound."""
@@ -14,7 +16,9 @@ def collect_bounded(df: DataFrame, most: int, what: str) -> list[Row]:
     return rows
 
 
-def small_side(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """df for a broadcast join if it has at most that many rows, else df as it is, for a shuffled join."""
-    rows = df.limit(most + 1).collect()
-    return df if len(rows) > most else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def small_side(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df, computed once and checkpointed: for a broadcast join if its rows are at most so many bytes as JSON, else for a
+    shuffled join. No row reaches the driver."""
+    kept = checkpointed(df)
+    size = kept.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*kept.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(kept) if size <= most else kept

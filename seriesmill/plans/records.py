@@ -29,11 +29,10 @@ def p2_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """One consistent table of runs, any field under any of its names; fields without a column as one JSON object of
-    their JSON texts, bodies without a run under their line_id."""
-    lines = _lines(spark, sf)
-    r = drift.consistent_table(lines, drift.field_families(drift.schema_changes(lines), drift.RUN_COLUMNS))
-    return r.withColumns({c: F.array_join(c, " | ") for c in ("caveats", "renamed_from", "failed_casts")} | {"other_fields": F.to_json("other_fields")})
+    """One consistent table of runs, any field under any of its names; lists as texts, bodies without a run under their
+    line_id, what no column holds as one JSON object."""
+    r = drift.consistent_runs(_lines(spark, sf))
+    return r.withColumns({c: F.array_join(c, " | ") for c, t in r.dtypes if t == "array<string>"} | {"other_fields": F.to_json("other_fields")})
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -94,55 +94,72 @@ def test_changes_of_the_driver_table(spark):
 
 def test_consistent_table(spark):
     body = [
-        ("s", 1, 1, '{"run_id":"r1","config":{"mode":"full"},"latency":{"total_ms":"12.5 ms"},"caveats":["a","b"]}'),
-        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"},"latency":{"millis":12.5},"caveats":"a | b"}'),
+        ("s", 1, 1, '{"run_id":"r1","config":{"mode":"full"},"latency":{"total_ms":"1,012.5 ms"},"caveats":["a","b"]}'),
+        ("s", 1, 0, '{"run_id":"r0","latency":{"total_ms":4}}'),
+        ("s", 2, 0, '{"run_id":"r0","latency":{"millis":4}}'),
+        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"},"caveats":"a | b"}'),
         ("s", 2, 3, '{"run_id":"r2","config":{"mode":{"name":"half"}},"latency":{"millis":{"value":7,"unit":"ms"}},"caveats":[{"code":1,"text":"c"}]}'),
         ("s", 2, 4, '{"run_id":"r3","config":{"mode":20},"latency":{"millis":"soon"}}'),
         ("s", 2, 5, '{"config":{"mode":"nobody"}}'),
+        ("s", 2, 6, '{"run_id":"r4","latency":{"millis":"2.5 s"}}'),
+        ("s", 2, 7, '{"run_id":"r5","latency":{"millis":{"seconds":3}}}'),
+        ("s", 2, 8, '{"run_id":"r6","latency":{"millis":"3 parsecs"}}'),
+        ("u", 1, 9, '{"run_id":"r7","latency":{"millis":5}}'),
     ]
     t = drift.RUN_COLUMNS[:3]
-    got = drift.consistent_runs(spark.createDataFrame(body, LINES), {"total_ms": ["latency.total_ms", "latency.millis"]}, t)
-    r = {x.run_id: x for x in got.collect()}
-    assert (r["r1"].file_no, r["r1"].mode, r["r1"].caveats, r["r1"].total_ms) == (2, "full", ["a", "b"], 12.5)
+    r = {x.run_id: x for x in drift.consistent_runs(spark.createDataFrame(body, LINES), t).collect()}
+    assert (r["r1"].file_no, r["r1"].mode, r["r1"].caveats, r["r1"].total_ms) == (2, "full", ["a", "b"], 1012.5)
     assert (r["r2"].mode, r["r2"].caveats, r["r2"].total_ms, r["r2"].renamed_from) == ("half", ["c"], 7.0, ["total_ms: latency.millis"])
-    assert (r["r3"].mode, r["r3"].total_ms, r["r3"].failed_casts) == ("20", None, ['total_ms: "soon"']) and len(r) == 3
-    changes = spark.createDataFrame([("s", 2, "renamed", "latency.total_ms", "latency.millis"), ("s", 3, "renamed", "latency.millis", "ms"), ("s", 3, "removed", "x", "")], "stream_id string, file_no int, change_kind string, old_field string, new_field string")
-    assert drift.field_families(changes, t)["total_ms"] == ["latency.total_ms", "latency.millis", "ms"]
+    assert (r["r3"].mode, r["r3"].total_ms, r["r3"].failed_casts) == ("20", None, ['total_ms: "soon"']) and len(r) == 9
+    assert (r["r4"].total_ms, r["r5"].total_ms, r["r7"].total_ms, r[None].line_id) == (2500.0, 3000.0, 5.0, 5)
+    assert (r["r6"].total_ms, r["r6"].failed_casts) == (None, ['total_ms: "3 parsecs"'])
 
 
 def test_consistent_table_keeps_every_field(spark):
     body = [
-        ("s", 1, 1, '{"run_id":"r1","config":{"mode":"full"},"latency":{"donut_ms":3.5},"new":[1,"x"]}'),
-        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full","runMode":"half"},"new":{"deep":{"a":1}}}'),
-        ("s", 2, 3, '{"config":{"mode":"nobody"},"z":"t"}'),
-        ("s", 2, 4, '{"config":{"mode":"other"}}'),
+        ("s", 1, 1, '{"run_id":"r1","config":{"mode":"full"},"latency":{"donut_ms":3.5},"new":[1,"x"],"ok":true}'),
+        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"},"z":{"deep":{"a":1}}}'),
+        ("s", 2, 3, '{"config":{"mode":"nobody"},"z":{"deep":"t"}}'),
         ("s", 2, 5, '{"config":'),
     ]
-    got = drift.consistent_table(spark.createDataFrame(body, LINES), {"mode": ["config.mode", "config.runMode"]}, drift.RUN_COLUMNS[:1]).collect()
-    assert sorted((r.run_id or "", r.line_id or 0, r.mode, r.other_fields) for r in got) == [
-        ("", 3, "nobody", {"z": '"t"'}),
-        ("", 4, "other", {}),
-        ("r1", 0, "full", {"latency.donut_ms": "3.5", "new": '[1,"x"]', "config.runMode": '"half"', "new.deep": '{"a":1}'}),
+    d = spark.createDataFrame(body, LINES)
+    got = sorted(drift.consistent_runs(d, drift.RUN_COLUMNS[:1]).collect(), key=lambda r: r.run_id or "")
+    assert [(r.run_id, r.line_id, r.mode, r.latency_donut_ms, r.new, r.ok, r.z_deep, r.other_fields) for r in got] == [
+        (None, 3, "nobody", None, None, None, "t", {}),
+        ("r1", None, "full", 3.5, ["1", "x"], True, '{"a":1}', {}),
     ]
+    few = {r.run_id: r.other_fields for r in drift.consistent_runs(d, drift.RUN_COLUMNS[:1], max_columns=1).collect()}
+    assert sorted(few["r1"]) == ["latency.donut_ms", "new", "ok", "z.deep"] or "config.mode" in few["r1"]
 
 
 def test_consistent_table_chooses_by_column(spark):
     body = [
-        ("s", 1, 9, '{"run_id":"r1","config":{"mode":"old"},"caveats":["a"],"latency":{"total_ms":"soon"}}'),
-        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"},"latency":{"millis":7}}'),
-        ("s", 3, 1, '{"run_id":"r1","config":{"mode":null},"latency":{"total_ms":"later"}}'),
+        ("s", 1, 9, '{"run_id":"r1","config":{"mode":"old"},"caveats":["a"]}'),
+        ("s", 1, 8, '{"run_id":"r0","latency":{"total_ms":4}}'),
+        ("s", 2, 2, '{"run_id":"r1","config":{"mode":"full"}}'),
+        ("s", 2, 3, '{"run_id":"r0","latency":{"millis":4}}'),
+        ("s", 2, 4, '{"run_id":"r1","latency":{"millis":7}}'),
+        ("s", 2, 7, '{"run_id":"r1","latency":{"millis":"soon"}}'),
+        ("s", 3, 1, '{"run_id":"r1","config":{"mode":null},"latency":{"millis":"later"}}'),
     ]
-    families = {"total_ms": ["latency.total_ms", "latency.millis"]}
     d = spark.createDataFrame(body, LINES)
-    r = drift.consistent_runs(d.unionByName(d).repartition(3), families, drift.RUN_COLUMNS[:3]).collect()
+    r = [x for x in drift.consistent_runs(d.unionByName(d).repartition(3), drift.RUN_COLUMNS[:3]).collect() if x.run_id == "r1"]
     assert [(x.file_no, x.mode, x.caveats, x.total_ms, x.renamed_from, x.failed_casts) for x in r] == [
         (3, "full", ["a"], 7.0, ["total_ms: latency.millis"], ['total_ms: "later"', 'total_ms: "soon"'])
     ]
 
 
+def test_a_name_reused_in_another_stream(spark):
+    changes = [("s", 2, "renamed", "a", "x"), ("s", 4, "renamed", "x", "y"), ("s", 6, "renamed", "y", "a"), ("u", 2, "renamed", "b", "x"), ("u", 2, "removed", "q", "")]
+    got = drift.root_names(spark.createDataFrame(changes, "stream_id string, file_no int, change_kind string, old_field string, new_field string"))
+    assert rows(got, "stream_id", "file_no", "path", "root") == [("s", 2, "x", "a"), ("s", 4, "y", "a"), ("s", 6, "a", "a"), ("u", 2, "x", "b")]
+    pairs = {("x", "a"), ("y", "a"), ("x", "b")}
+    assert drift._family(pairs, {"a"}) == {"a": "a", "b": "a", "x": "a", "y": "a"} and drift._family(pairs, {"a", "b"}) == {"a": "a", "b": "b", "x": "x", "y": "a"}
+
+
 def test_parser_refuses_what_is_cut_off_or_trails(spark):
-    d = spark.createDataFrame([(t,) for t in ('{"a":1} x', '{"a":1', "", None, ' {"a":1} ', "[1", "7")], "t string")
-    assert [r.v for r in d.select(parsed(C("t")).isNotNull().alias("v")).collect()] == [False, False, False, False, True, False, True]
+    d = spark.createDataFrame([(t,) for t in ('{"a":1} x', '{"a":1', "", None, ' {"a":1} ', "[1", "7", '\r\n{"a":1}\t\n')], "t string")
+    assert [r.v for r in d.select(parsed(C("t")).isNotNull().alias("v")).collect()] == [False, False, False, False, True, False, True, True]
 
 
 RESULTS = "result_id bigint, scores string, models array<struct<name:string,parameters:bigint,size_mb:double,trainable_parameters:bigint,parts:array<struct<part_name:string,n_tensors:int,dtype:string>>>>, taxonomy string"
