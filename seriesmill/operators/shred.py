@@ -1,13 +1,14 @@
 """Deeply nested records as flat tables with parent links.
 
 Every value of a record becomes a node: its id (the way of places from the root), its parent's id, label (key, or null in
-an array), ordinal, kind and scalar. All nodes of a record come out of one projection and one explode. Entities are
-object nodes joined with their scalar children; as both are keyed by the object's id, that join and the pivot are one
-grouping, which the map side completes, since a record's nodes stand together.
-
-Containers below max_depth stay whole, as JSON, in their node's scalar; nothing is dropped. Null, blank or broken texts
-give no nodes. Empty objects and arrays are nodes without children; nulls are nodes of kind null. Repeated ids are told
-apart only if the rows differ in nothing else: give records unique ids.
+an array), ordinal, kind and scalar. All nodes of a record come out of one scan: a generator per level gives the ways from
+the root to its leaves, and each inner node goes out with the first leaf below it. Entities are object nodes joined
+with their scalar children; as both are keyed by the object's id, that join and the pivot are one grouping, which the
+map side completes, since a record's nodes stand together.
+
+Values nested deeper than max_depth are an error, not a cut. Null, blank or broken texts give no nodes. Empty objects and
+arrays are nodes without children; nulls are nodes of kind null. Records are told apart by their row, so repeated and null
+ids do not merge.
 """
 
 from __future__ import annotations
@@ -15,107 +16,145 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.let import let
-from seriesmill.functions.variants import elements, entries, lexeme, parsed, simple_kind
-
+from seriesmill.functions.variants import exploded, lexeme, parsed, shape
 
-def _node(node_id: Column, parent: Column, path: Column, label: Column, ordinal: Column, value: Column) -> Column:
-    return F.struct(node_id.alias("node_id"), parent.alias("parent_id"), path.alias("path"), label.alias("label"), ordinal.cast("int").alias("ordinal"), value.alias("value"))
 
+def _kind(shape_: Column) -> Column:
+    return (
+        F.when(shape_ == "STRING", "string")
+        .when(shape_ == "BOOLEAN", "boolean")
+        .when(shape_ == "VOID", "null")
+        .when(shape_.startswith("OBJECT<"), "object")
+        .when(shape_.startswith("ARRAY<"), "array")
+        .otherwise("number")
+    )
 
-def _children(node: Column) -> Column:
-    def child(label: Column, i: Column, value: Column) -> Column:
-        step = F.coalesce(label, i.cast("string"))
-        return _node(F.concat(node["node_id"], F.lit("/"), i.cast("string")), node["node_id"], F.concat(node["path"], F.array(step)), label, i, value)
 
-    of_object = F.transform(entries(node["value"]), lambda e, i: child(e["key"], i, e["value"]))
-    of_array = F.transform(elements(node["value"]), lambda v, i: child(F.lit(None).cast("string"), i, v))
-    return let(simple_kind(node["value"]), lambda k: F.when(k == "object", of_object).when(k == "array", of_array).otherwise(F.slice(F.array(node), 1, 0)))
+def nodes(records: DataFrame, key: str, roots: dict[str, Column], max_depth: int = 8, carry: str | None = None) -> DataFrame:
+    """key, row_id, node_id, parent_id, path, label, ordinal, kind, scalar of every node below the roots (variants by name).
+    A path begins with its root's name, unless that is empty. With carry, carried is the text that the nearest object
+    above a node holds under that label."""
+    root = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in roots.items())))
+    # The number of a row is unique, whatever the ids are.
+    d = records.select(F.col(key), F.monotonically_increasing_id().alias("row_id"), root.alias("_r")).select(key, "row_id", F.col("_r.name").alias("_root"), F.col("_r.v").alias("_v"), F.lit(None).cast("string").alias("_own"))
+    kept = [key, "row_id", "_root"]
+    for i in range(1, max_depth + 1):
+        d = exploded(d, "_v", f"_k{i}", "_c", f"_p{i}", outer=i > 1)
+        d = d.withColumn("_s", shape(F.col("_c")))
+        inner = F.col("_s").startswith("OBJECT<") | F.col("_s").startswith("ARRAY<")
+        text = F.when(~inner, lexeme(F.col("_c")))
+        if i == max_depth:
+            text = F.when(inner & ~F.to_json("_c").isin("{}", "[]"), F.raise_error(F.lit(f"nested deeper than {max_depth}")).cast("string")).otherwise(text)
+        kept += [f"_k{i}", f"_p{i}", f"_t{i}", f"_x{i}", f"_up{i}"]
+        own = F.coalesce(F.try_variant_get("_c", f"$.{carry}", "string"), "_own") if carry else F.lit(None).cast("string")
+        d = d.withColumns({f"_t{i}": F.when(F.col(f"_p{i}").isNotNull(), _kind(F.col("_s"))), f"_x{i}": text, f"_up{i}": F.col("_own"), "_v": F.when(inner, F.col("_c")), "_own": own}).select(*kept, "_v", "_own")
+
+    def node(i: int) -> Column:
+        at = [F.col(f"_p{j}").cast("string") for j in range(1, i + 1)]
+        steps = F.array(F.nullif(F.col("_root"), F.lit("")), *(F.coalesce(F.col(f"_k{j}"), at[j - 1]) for j in range(1, i + 1)))
+        parent = F.concat_ws("/", F.col("_root"), *at[:-1])
+        fields = {"node_id": F.concat_ws("/", F.col("_root"), *at), "parent_id": parent, "path": F.array_compact(steps), "label": F.col(f"_k{i}"), "ordinal": F.col(f"_p{i}"), "kind": F.col(f"_t{i}"), "scalar": F.col(f"_x{i}"), "carried": F.col(f"_up{i}")}
+        first = F.lit(True)
+        for j in range(i + 1, max_depth + 1):
+            first = first & (F.coalesce(F.col(f"_p{j}"), F.lit(0)) == 0)
+        return F.when(F.col(f"_p{i}").isNotNull() & first, F.struct(*(v.alias(n) for n, v in fields.items())))
+
+    d = d.select(key, "row_id", F.explode(F.array_compact(F.array(*(node(i) for i in range(1, max_depth + 1))))).alias("n")).select(key, "row_id", "n.*")
+    return d if carry else d.drop("carried")
 
 
 def adjacency(records: DataFrame, key: str, text: str, max_depth: int = 8) -> DataFrame:
-    """key, node_id, parent_id, path, label, ordinal, kind, scalar of every node below the root ('')."""
-    none = F.lit(None).cast("string")
-    root = _node(F.lit(""), none, F.array().cast("array<string>"), none, F.lit(0), parsed(F.col(text)))
-    d = records.select(key, root.alias("_root")).where("_root.value is not null").select(key, _children(F.col("_root")).alias("_l1"))
-    for i in range(2, max_depth + 1):
-        d = d.select("*", F.flatten(F.transform(f"_l{i - 1}", _children)).alias(f"_l{i}"))
-    levels = [f"_l{i}" for i in range(1, max_depth + 1)]
-    bare = lambda n: F.struct(*(n[c].alias(c) for c in ("node_id", "parent_id", "path", "label", "ordinal")), F.coalesce(simple_kind(n["value"]), F.lit("null")).alias("kind"), lexeme(n["value"]).alias("_s"))
-    d = d.select(key, F.explode(F.transform(F.concat(*levels), bare)).alias("n")).select(key, "n.*")
-    deep = (F.size("path") >= max_depth) | ~F.col("kind").isin("object", "array")
-    return d.select(key, "node_id", "parent_id", "path", "label", "ordinal", "kind", F.when(deep, F.col("_s")).alias("scalar"))
-
-
-def entities(nodes: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Object nodes with the named scalar children pivoted into columns: key, node_id, parent_id, path, n_scalars and
-    for each field f its value f and kind f_kind."""
+    """The nodes of a JSON text."""
+    return nodes(records, key, {"": parsed(F.col(text))}, max_depth)
+
+
+def entities(nodes_: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Object nodes with the named scalar children pivoted into columns: key, row_id, node_id, parent_id, path, ordinal,
+    carried (if the nodes have it), n_scalars and a column for each field."""
     is_object = F.col("kind") == "object"
     scalar = ~F.col("kind").isin("object", "array")
-    # An object takes part twice: as itself, and as a child of its own parent only if it is a scalar.
+    # An object takes part as itself; a scalar as a child of its parent.
     owner = F.when(is_object, F.col("node_id")).when(scalar & F.col("label").isNotNull(), F.col("parent_id"))
-    n = nodes.withColumn("_owner", owner).where("_owner is not null")
-    pick = lambda f, c: F.max(F.when(scalar & (F.col("label") == f), F.col(c)))
-    out = n.groupBy(key, "_owner").agg(
-        F.max(F.when(is_object, F.struct("parent_id", "path"))).alias("_o"),
+    carried = ["carried"] if "carried" in nodes_.columns else []
+    n = nodes_.withColumn("_owner", owner).where("_owner is not null")
+    out = n.groupBy(key, "row_id", "_owner").agg(
+        F.max(F.when(is_object, F.struct("parent_id", "path", "ordinal", *carried))).alias("_o"),
         F.count_if(scalar & (F.col("kind") != "null")).alias("n_scalars"),
-        *(pick(f, c).alias(a) for f in fields for c, a in (("scalar", f), ("kind", f"{f}_kind"))),
+        *(F.max(F.when(scalar & (F.col("label") == f), F.col("scalar"))).alias(f) for f in fields),
     )
-    return out.where("_o is not null").select(key, F.col("_owner").alias("node_id"), "_o.*", "n_scalars", *(a for f in fields for a in (f, f"{f}_kind")))
+    return out.where("_o is not null").select(key, "row_id", F.col("_owner").alias("node_id"), "_o.*", "n_scalars", *fields)
 
 
 # The tables of an evaluation result.
 
+FIELDS = {"scores": ["axis", "chart_type", "source", "n_instances", "score", "stderr"], "models": ["name", "parameters", "size_mb", "trainable_parameters"], "parts": ["part_name", "n_tensors", "dtype"]}
 
-def score_cells(results: DataFrame) -> DataFrame:
-    """result_id, parent_key, item_key, n_instances, score, stderr of every object with the figures of one group, keyed
-    by its place in an object or by its own axis, chart_type or source in an array."""
-    nodes = adjacency(results, "result_id", "scores", 5)
-    e = entities(nodes, "result_id", ["axis", "chart_type", "source", "n_instances", "score", "stderr"])
-    # In an array of sources, a cell's source is a scalar of its grandparent: path by_source_and_chart_type/<i>/by_chart_type/<i>.
-    named = e.where("size(path) = 2 and path[0] = 'by_source_and_chart_type' and source is not null").select("result_id", F.col("node_id").alias("_up"), F.col("source").alias("_of"))
-    cell = e.where("path[0] in ('by_axis','by_chart_type','by_source') and size(path) = 2 or path[0] = 'by_source_and_chart_type' and size(path) in (2, 3, 4)")
-    cell = cell.withColumn("_up", F.when((F.col("path")[0] == "by_source_and_chart_type") & F.element_at("path", -2).isin("by_chart_type"), F.regexp_replace("parent_id", "/[^/]*$", "")))
-    cell = cell.join(named, ["result_id", "_up"], "left")
-    own = F.coalesce(F.when(F.col("path")[0] == "by_axis", F.col("axis")).when(F.col("path")[0] == "by_source", F.col("source")).otherwise(F.col("chart_type")), F.element_at("path", -1))
-    deep = F.col("path")[0] == "by_source_and_chart_type"
-    source = F.when(F.size("path") == 4, F.coalesce("_of", F.col("path")[1])).when(F.size("path") == 3, F.coalesce("_of", F.col("path")[1])).otherwise(F.col("source"))
+
+def result_entities(results: DataFrame, *roots: str) -> DataFrame:
+    """The entities of scores and models, or of one of them; every text is parsed once."""
+    values = {"scores": parsed(F.col("scores")), "models": F.to_variant_object("models")}
+    fields = [f for r in roots for part in ({"models": ["models", "parts"]}.get(r, [r])) for f in FIELDS[part]]
+    return entities(nodes(results, "result_id", {r: values[r] for r in roots}, carry="source"), "result_id", fields)
+
+
+def _cell() -> tuple[Column, Column, Column]:
+    """Whether an entity is the object with the figures of one group, and its parent_key and item_key: its place in an
+    object, or its own axis, chart_type or source in an array."""
+    at = lambda i: F.try_element_at("path", F.lit(i + 2))
+    depth, group = F.size("path") - 1, at(0)
+    deep = group == "by_source_and_chart_type"
+    own = F.coalesce(F.when(group == "by_axis", F.col("axis")).when(group == "by_source", F.col("source")).otherwise(F.col("chart_type")), F.element_at("path", -1))
+    # In an array of sources, a cell's source is a scalar of the object that holds its by_chart_type.
+    source = F.when(depth == 2, F.col("source")).when(at(2) == "by_chart_type", F.coalesce("carried", at(1))).otherwise(at(1))
+    flat = group.isin("by_axis", "by_chart_type", "by_source") & (depth == 2)
     # At depth 2 of by_source_and_chart_type only cells that name both are cells; the others are the sources themselves.
-    is_cell = ~deep | ((F.size("path") == 2) & F.col("chart_type").isNotNull() & F.col("source").isNotNull()) | ((F.size("path") == 3) & (F.element_at("path", -1) != "by_chart_type")) | ((F.size("path") == 4) & (F.col("path")[2] == "by_chart_type"))
-    return cell.where(is_cell & (F.col("n_scalars") > 0)).select(
-        "result_id",
-        F.when(deep, F.concat(F.lit("by_source_and_chart_type/"), source)).otherwise(F.col("path")[0]).alias("parent_key"),
-        own.alias("item_key"),
-        *(F.col(c).try_cast("double").alias(c) for c in ("n_instances", "score", "stderr")),
-    )
+    whole = flat | deep & ((depth == 2) & F.col("chart_type").isNotNull() & F.col("source").isNotNull() | (depth == 3) & (at(2) != "by_chart_type") | (depth == 4) & (at(2) == "by_chart_type"))
+    return (F.col("path")[0] == "scores") & whole & (F.col("n_scalars") > 0), F.when(deep, F.concat(F.lit("by_source_and_chart_type/"), source)).otherwise(group), own
 
 
-def taxonomy_counts(results: DataFrame) -> DataFrame:
-    """result_id, parent_key, item_key, count of every count that is a number."""
-    n = adjacency(results, "result_id", "taxonomy", 4).where("kind = 'number' and label is not null")
-    top = (F.size("path") == 2) & (F.col("path")[0] == "counts")
-    by_type = (F.size("path") == 3) & (F.col("path")[0] == "by_ground_truth_chart_type")
-    key = F.when(top, F.lit("counts")).when(by_type, F.concat(F.lit("by_ground_truth_chart_type/"), F.col("path")[1]))
-    return n.where(top | by_type).select("result_id", key.alias("parent_key"), F.col("label").alias("item_key"), F.col("scalar").try_cast("double").alias("count"))
+def _model() -> tuple[Column, Column, Column]:
+    """As _cell, for a non-null model, by its place from 0."""
+    return F.expr("path[0] = 'models' and size(path) = 2"), F.lit(""), F.element_at("path", -1)
+
+
+def _part() -> tuple[Column, Column, Column]:
+    """As _cell, for a non-null part, by the places of its model and its own."""
+    return F.expr("path[0] = 'models' and size(path) = 4 and path[2] = 'parts'"), F.try_element_at("path", F.lit(2)), F.element_at("path", -1)
+
+
+def _rows(e: DataFrame, place: tuple[Column, Column, Column], fields: dict[str, str]) -> DataFrame:
+    which, parent, item = place
+    return e.where(which).select("result_id", parent.alias("parent_key"), item.alias("item_key"), *(F.col(f).try_cast(t).alias(f) for f, t in fields.items()))
+
+
+def score_cells(results: DataFrame) -> DataFrame:
+    """result_id, parent_key, item_key, n_instances, score, stderr."""
+    return _rows(result_entities(results, "scores"), _cell(), dict.fromkeys(("n_instances", "score", "stderr"), "double"))
 
 
 def model_rows(results: DataFrame) -> DataFrame:
-    """result_id, item_key (place from 0) and fields of every non-null model."""
-    m = results.select("result_id", F.posexplode("models").alias("_i", "_m")).where("_m is not null")
-    return m.select("result_id", F.lit("").alias("parent_key"), F.col("_i").cast("string").alias("item_key"), "_m.name", "_m.parameters", "_m.size_mb", "_m.trainable_parameters")
+    """result_id, parent_key, item_key and fields of every non-null model."""
+    return _rows(result_entities(results, "models"), _model(), {"name": "string", "parameters": "bigint", "size_mb": "double", "trainable_parameters": "bigint"})
 
 
 def model_parts(results: DataFrame) -> DataFrame:
-    """result_id, parent_key (place of the model), item_key and fields of every non-null part."""
-    m = results.select("result_id", F.posexplode("models").alias("_i", "_m")).select("result_id", F.col("_i").cast("string").alias("parent_key"), F.posexplode("_m.parts").alias("_j", "_p")).where("_p is not null")
-    return m.select("result_id", "parent_key", F.col("_j").cast("string").alias("item_key"), "_p.*")
+    """result_id, parent_key, item_key and fields of every non-null part."""
+    return _rows(result_entities(results, "models"), _part(), {"part_name": "string", "n_tensors": "int", "dtype": "string"})
+
+
+def taxonomy_counts(results: DataFrame) -> DataFrame:
+    """result_id, parent_key, item_key, count of every count that is a number."""
+    n = adjacency(results, "result_id", "taxonomy").where("kind = 'number' and label is not null")
+    top = (F.size("path") == 2) & (F.col("path")[0] == "counts")
+    by_type = (F.size("path") == 3) & (F.col("path")[0] == "by_ground_truth_chart_type")
+    key = F.when(top, F.lit("counts")).when(by_type, F.concat(F.lit("by_ground_truth_chart_type/"), F.col("path")[1]))
+    return n.where(top | by_type).select("result_id", key.alias("parent_key"), F.col("label").alias("item_key"), F.col("scalar").try_cast("double").alias("count"))
 
 
 def child_rows(results: DataFrame) -> DataFrame:
-    """result_id, child, parent_key, item_key: all child rows of all tables."""
-    tables = {"score": score_cells, "model": model_rows, "model_part": model_parts, "taxonomy": taxonomy_counts}
-    out = None
-    for name, table in tables.items():
-        part = table(results).select("result_id", F.lit(name).alias("child"), "parent_key", "item_key")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """result_id, child, parent_key, item_key: all child rows of all tables. Scores and models are shredded and grouped
+    once, and every entity becomes the row of the one table that it belongs to."""
+    row = lambda name, p: F.when(p[0], F.struct(F.lit(name).alias("child"), p[1].alias("parent_key"), p[2].alias("item_key")))
+    table = F.coalesce(*(row(n, p()) for n, p in (("score", _cell), ("model", _model), ("model_part", _part))))
+    rows = result_entities(results, "scores", "models").select("result_id", F.explode(F.array_compact(F.array(table))).alias("r")).select("result_id", "r.*")
+    return rows.unionByName(taxonomy_counts(results).select("result_id", F.lit("taxonomy").alias("child"), "parent_key", "item_key"))

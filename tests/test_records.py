@@ -194,5 +194,14 @@ def test_adjacency_holds_every_value(spark):
         ("a",): ("object", None), ("a", "b"): ("array", None), ("a", "b", "0"): ("number", "1"), ("a", "b", "1"): ("object", None), ("a", "b", "1", "c"): ("null", None),
         ("a", "b", "1", "d"): ("string", "x"), ("a", "e"): ("object", None), ("f",): ("array", None), ("g",): ("boolean", "true"),
     }
-    deep = shred.adjacency(spark.createDataFrame([(1, json.dumps(doc))], "id int, t string"), "id", "t", 2).collect()
-    assert {tuple(r.path): r.scalar for r in deep}[("a", "b")] == '[1,{"c":null,"d":"x"}]'
+    with pytest.raises(Exception, match="nested deeper than 2"):
+        shred.adjacency(spark.createDataFrame([(1, json.dumps(doc))], "id int, t string"), "id", "t", 2).collect()
+
+
+def test_shredding_keeps_records_of_one_id_apart(spark):
+    one = ('{"by_axis":{"x":{"score":1}}}', [("m", 1, 1.0, 1, None)], '{"counts":{"ok":1}}')
+    df = spark.createDataFrame([(i, *one) for i in (7, 7, None)], RESULTS)
+    got = rows(shred.child_rows(df).where("child <> 'taxonomy'").fillna(0), "result_id", "child", "item_key")
+    assert got == sorted([(i, c, k) for i in (7, 7, 0) for c, k in (("score", "x"), ("model", "0"))])
+    m = shred.model_rows(df).where("result_id is null").first()
+    assert (m.name, m.parameters, m.size_mb) == ("m", 1, 1.0)
