@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from seriesmill.functions.variants import exploded, lexeme, parsed, shape
 
 
+NODES = "array<struct<node_id:string,parent_id:string,path:array<string>,label:string,ordinal:int,kind:string,scalar:string,carried:string>>"
+
+
 def _kind(shape_: Column) -> Column:
     return (
         F.when(shape_ == "STRING", "string")
@@ -30,40 +33,33 @@ def _kind(shape_: Column) -> Column:
     )
 
 
-def nodes(records: DataFrame, key: str, roots: dict[str, Column], max_depth: int = 8, carry: str | None = None) -> DataFrame:
+def nodes(records: DataFrame, key: str, roots: dict[str, Column], max_depth: int = 6, carry: str | None = None) -> DataFrame:
     """key, row_id, node_id, parent_id, path, label, ordinal, kind, scalar of every node below the roots (variants by name).
     A path begins with its root's name, unless that is empty. With carry, carried is the text that the nearest object
     above a node holds under that label."""
     root = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in roots.items())))
     # The number of a row is unique, whatever the ids are.
-    d = records.select(F.col(key), F.monotonically_increasing_id().alias("row_id"), root.alias("_r")).select(key, "row_id", F.col("_r.name").alias("_root"), F.col("_r.v").alias("_v"), F.lit(None).cast("string").alias("_own"))
-    kept = [key, "row_id", "_root"]
+    d = records.select(F.col(key), F.monotonically_increasing_id().alias("row_id"), root.alias("_r"))
+    none = F.lit(None).cast("string")
+    d = d.select(key, "row_id", F.col("_r.name").alias("_id"), F.array_compact(F.array(F.nullif(F.col("_r.name"), F.lit("")))).alias("_path"), none.alias("_above"), F.array().cast(NODES).alias("_out"), F.col("_r.v").alias("_v"))
     for i in range(1, max_depth + 1):
-        d = exploded(d, "_v", f"_k{i}", "_c", f"_p{i}", outer=i > 1)
-        d = d.withColumn("_s", shape(F.col("_c")))
-        inner = F.col("_s").startswith("OBJECT<") | F.col("_s").startswith("ARRAY<")
-        text = F.when(~inner, lexeme(F.col("_c")))
+        # _out holds the nodes on the way that no other way has sent out: a first child takes its parents along.
+        d = exploded(d, "_v", "_k", "_c", "_p", outer=i > 1)
+        d = d.withColumn("_s", shape(F.col("_c"))).withColumn("_t", _kind(F.col("_s"))).withColumn("_in", F.col("_t").isin("object", "array"))
+        text = F.when(~F.col("_in"), lexeme(F.col("_c")))
         if i == max_depth:
-            text = F.when(inner & ~F.to_json("_c").isin("{}", "[]"), F.raise_error(F.lit(f"nested deeper than {max_depth}")).cast("string")).otherwise(text)
-        kept += [f"_k{i}", f"_p{i}", f"_t{i}", f"_x{i}", f"_up{i}"]
-        own = F.coalesce(F.try_variant_get("_c", f"$.{carry}", "string"), "_own") if carry else F.lit(None).cast("string")
-        d = d.withColumns({f"_t{i}": F.when(F.col(f"_p{i}").isNotNull(), _kind(F.col("_s"))), f"_x{i}": text, f"_up{i}": F.col("_own"), "_v": F.when(inner, F.col("_c")), "_own": own}).select(*kept, "_v", "_own")
-
-    def node(i: int) -> Column:
-        at = [F.col(f"_p{j}").cast("string") for j in range(1, i + 1)]
-        steps = F.array(F.nullif(F.col("_root"), F.lit("")), *(F.coalesce(F.col(f"_k{j}"), at[j - 1]) for j in range(1, i + 1)))
-        parent = F.concat_ws("/", F.col("_root"), *at[:-1])
-        fields = {"node_id": F.concat_ws("/", F.col("_root"), *at), "parent_id": parent, "path": F.array_compact(steps), "label": F.col(f"_k{i}"), "ordinal": F.col(f"_p{i}"), "kind": F.col(f"_t{i}"), "scalar": F.col(f"_x{i}"), "carried": F.col(f"_up{i}")}
-        first = F.lit(True)
-        for j in range(i + 1, max_depth + 1):
-            first = first & (F.coalesce(F.col(f"_p{j}"), F.lit(0)) == 0)
-        return F.when(F.col(f"_p{i}").isNotNull() & first, F.struct(*(v.alias(n) for n, v in fields.items())))
-
-    d = d.select(key, "row_id", F.explode(F.array_compact(F.array(*(node(i) for i in range(1, max_depth + 1))))).alias("n")).select(key, "row_id", "n.*")
+            text = F.when(F.col("_in") & ~F.to_json("_c").isin("{}", "[]"), F.raise_error(F.lit(f"nested deeper than {max_depth}")).cast("string")).otherwise(text)
+        step = F.col("_p").cast("string")
+        d = d.withColumn("_at", F.concat_ws("/", "_id", step)).withColumn("_way", F.array_append("_path", F.coalesce("_k", step)))
+        node = F.struct(F.col("_at").alias("node_id"), F.col("_id").alias("parent_id"), F.col("_way").alias("path"), F.col("_k").alias("label"), F.col("_p").alias("ordinal"), F.col("_t").alias("kind"), text.alias("scalar"), F.col("_above").alias("carried"))
+        out = F.when(F.col("_p").isNull(), F.col("_out")).when(F.col("_p") == 0, F.array_append("_out", node)).otherwise(F.array(node)).cast(NODES)
+        own = F.coalesce(F.when(F.col("_t") == "object", F.try_variant_get("_c", f"$.{carry}", "string")), F.col("_above")) if carry else none
+        d = d.select(key, "row_id", F.col("_at").alias("_id"), F.col("_way").alias("_path"), own.alias("_above"), out.alias("_out"), F.when(F.col("_in"), F.col("_c")).alias("_v"))
+    d = d.select(key, "row_id", F.explode("_out").alias("n")).select(key, "row_id", "n.*")
     return d if carry else d.drop("carried")
 
 
-def adjacency(records: DataFrame, key: str, text: str, max_depth: int = 8) -> DataFrame:
+def adjacency(records: DataFrame, key: str, text: str, max_depth: int = 6) -> DataFrame:
     """The nodes of a JSON text."""
     return nodes(records, key, {"": parsed(F.col(text))}, max_depth)
 
