@@ -124,6 +124,18 @@ ledger as (select image_id, coalesce(draw, (select min_by(d.draw_no, d.t) from d
   case when draw is not null then 1.0 else 0.1 end::double as rate, draw is not null as carried from seen)
 select image_id, epoch, rate, carried from ledger where ('0x' || substr(md5('7:0:' || image_id), 1, 13))::bigint::double / 4503599627370496.0 < rate"""
 
+_KEY = "lower(trim(source, (' ' || chr(9) || chr(10) || chr(13) || chr(160))))"
+_MIX = f"""
+d0 as (select {_KEY} as key, doc_id, coalesce(strlen(text), 0)::hugeint as size, coalesce(length(regexp_replace(text, '[^\\pL\\pM]+', '', 'g'))::double / (length(text) + 100), 0) as w,
+  ln(-ln((('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 1) / 4503599627370497.0)) as e from documents),
+d as (select *, coalesce(sum(size) over (partition by key order by w <= 0, case when w > 0 then e - ln(w) else e end, doc_id, size rows between unbounded preceding and 1 preceding), 0)::hugeint as before from d0),
+per as (select key, sum(size)::hugeint as s from d0 where key is not null group by 1), total as (select coalesce(sum(size), 0)::hugeint as t from d0),
+m as (select mix_id, source, {_KEY} as key, coalesce(s, 0) as s, coalesce(target_permille, 0)::hugeint * coalesce(budget_permille, 0) * t as goal, coalesce(max_repeats, 0)::hugeint as most from mix_targets left join per on per.key = {_KEY}, total),
+pl as (select *, case when s = 0 then 0 else least(most, goal // (s * 1000000)) end as passes from m),
+plan as (select *, case when s = 0 or passes >= most then 0 else (goal - passes * s * 1000000) // 1000000 end as part from pl),
+used as (select mix_id, plan.source, doc_id, size, passes + case when part > 0 and 2 * before + size <= 2 * part then 1 else 0 end as repeats from plan join d using (key)),
+mix as (select * from used where repeats > 0)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"with {_LATEST} select batch_id, source, chart_type from t1 where available < required",
     "p1_quotas": f"with {_QUOTAS} select batch_id, source, chart_type, required, available, quota, short from quotas",
@@ -132,6 +144,10 @@ ORACLE: dict[str, str] = {
          from latest l join quotas q on l.batch_id = q.batch_id and l.source = q.source and l.chart_type = q.chart_type) where rn <= quota""",
     "p3_found": f"select image_id from ({_P3}) where carried",
     "p3_sample": _P3,
+    "p6_mix": f"with {_MIX} select mix_id, source, doc_id, size::bigint as size, repeats::bigint as repeats from mix",
+    "p6_shares": f"""with {_MIX}, u as (select mix_id, source, sum(size * repeats)::bigint as actual_tokens, count(*) as texts from mix group by all)
+        select mix_id, source, goal::double / 1000000 as goal_tokens, coalesce(actual_tokens, 0) as actual_tokens, coalesce(texts, 0) as texts, passes::bigint as passes,
+        round(1000 * coalesce(actual_tokens, 0)::double / nullif(sum(coalesce(actual_tokens, 0)) over (partition by mix_id), 0), 3) as actual_permille, s * most * 1000000 < goal as out_of_reach from plan left join u using (mix_id, source)""",
     "p5_found": "select spec_id, doc_id from documents, pack_specs where coalesce(strlen(text), 0) > capacity_tokens",
     "p6_found": """with d as (select lower(trim(source, (' ' || chr(9) || chr(10) || chr(13) || chr(160)))) as key, coalesce(strlen(text), 0)::hugeint as n from documents),
         s as (select key, sum(n) as n from d where key is not null group by 1), w as (select coalesce(sum(n), 0) as n from d)

@@ -205,23 +205,54 @@ def test_mixing(spark):
     assert mixture.mixed(d.where("false"), mix).count() == 0 and mixture.mix_report(d, mix.where("false")).count() == 0
 
 
-def test_mix_order_by_brute_force(spark):
+def brute_prefix(weights, sizes, part, seed=7):
+    """The ids that a broken pass over one source takes."""
     import hashlib
     import math
 
-    d = spark.createDataFrame([(i, "ab" * (i % 7 + 1), "s") for i in range(300)], DOCS)
-    keys = {i: -math.log((int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 1) / 2**52) for i in range(300)}
-    before, want = 0, {}
-    for i in sorted(keys, key=lambda i: (keys[i], i)):
-        want[i] = before
-        before += 2 * (i % 7 + 1)
-    assert {r.doc_id: r.before for r in mixture.ordered(d, buckets=16).collect()} == want
+    def key(i):
+        e = math.log(-math.log((int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 1)))
+        w = weights[i]
+        rank = -1 if w == math.inf else 0 if w is not None and w > 0 else 1
+        return (rank, e - math.log(w) if rank == 0 else e, i)
+
+    before, out = 0, set()
+    for i in sorted(sizes, key=key):
+        if 2 * before + sizes[i] <= 2 * part:
+            out.add(i)
+        before += sizes[i]
+    return out
+
+
+@pytest.mark.parametrize("resolution", [1, 1024])
+def test_mix_by_brute_force(spark, monkeypatch, resolution):
+    monkeypatch.setattr(mixture, "RESOLUTION", resolution)
+    r = random.Random(9)
+    w = {i: r.choice([None, 0.0, -1.0, float("nan"), float("inf"), 1e-9, 0.5, 3.0, 100.0]) for i in range(400)}
+    sizes = {i: r.choice([0, 0, 3, 9, 40]) for i in w}
+    d = spark.createDataFrame([(i, "y" * sizes[i], "s", w[i]) for i in w], f"{DOCS}, w double")
+    total = sum(sizes.values())
+    parts = [0, 1, 7, 130, 331, 500, 777, 999, 1000, 1250]
+    mix = spark.createDataFrame([(f"m{p}", "s", 1000, 2, p) for p in parts], MIX)
+    got = defaultdict(dict)
+    for x in mixture.mixed(d, mix, C("w")).collect():
+        got[x.mix_id][x.doc_id] = x.repeats
+    rep = {x.mix_id: x for x in mixture.mix_report(d, mix, C("w")).collect()}
+    plain = {i: v if v is None or v == v else None for i, v in w.items()}
+    for p in parts:
+        passes, part = divmod(p * total, 1000 * total)
+        taken = brute_prefix(plain, sizes, part // 1000) if part else set()
+        want = {i: passes + (i in taken) for i in w if passes + (i in taken)}
+        assert got[f"m{p}"] == want
+        assert (rep[f"m{p}"].actual_tokens, rep[f"m{p}"].texts) == (sum(sizes[i] * n for i, n in want.items()), len(want))
 
 
 def test_weights_matter(spark):
     d = spark.createDataFrame([(i, "x", "s") for i in range(4000)], DOCS)
-    o = mixture.ordered(d, F.when(C("doc_id") < 2000, 1.0).otherwise(0.25)).where("before < 400")
-    assert 290 < o.where("doc_id < 2000").count() < 350
+    mix = spark.createDataFrame([("m", "s", 1000, 1, 100)], MIX)
+    for heavy, least, most in ((1.0, 290, 350), (25.0, 375, 400)):
+        got = mixture.mixed(d, mix, F.when(C("doc_id") < 2000, heavy).otherwise(0.25)).collect()
+        assert len(got) == 400 and least < sum(x.doc_id < 2000 for x in got) <= most
 
 
 TEXTS = {
