@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seriesmill.functions.calibration import value_at
-from seriesmill.functions.geometry import centres
+from seriesmill.functions.geometry import MIN_SCORE, centres
 from seriesmill.functions.let import let, let_all
 from seriesmill.functions.values import SERIES, float_val, int_val
 
@@ -19,11 +19,13 @@ COLUMN_TOLERANCE = 10.0
 
 @dataclass(frozen=True)
 class Decoder:
-    """decode(centres, x_ticks, calibration) gives the values; dedupe is the overlap above which a marker is dropped."""
+    """decode(centres, x_ticks, calibration) gives the values; dedupe is the overlap above which a marker is dropped;
+    min_score replaces the usual least score."""
 
     decode: Callable[[Column, Column, Column], Column]
     dedupe: float | None = None
     integral: bool = False
+    min_score: float = MIN_SCORE
 
 
 def _each(c: Column, x_ticks: Column, cal: Column) -> Column:
@@ -66,7 +68,7 @@ def decoded(chart_type: Column, boxes: Column, x_ticks: Column, cal: Column, dec
     ticks = F.array_sort(F.coalesce(x_ticks, F.array().cast("array<double>")))
     out = F.lit(None).cast(SERIES)
     for name, d in decoders.items():
-        values = let_all({"c": centres(boxes, d.dedupe), "t": ticks}, _bound(d, cal))
+        values = let_all({"c": centres(boxes, d.dedupe, d.min_score), "t": ticks}, _bound(d, cal))
         as_val = (lambda v: int_val(v.cast("decimal(38,0)").cast("string"))) if d.integral else float_val
         out = F.when(chart_type == name, F.transform(values, as_val).cast(SERIES)).otherwise(out)
     return out

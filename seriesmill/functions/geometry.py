@@ -33,9 +33,9 @@ def deduplicated(boxes: Column, most: float = 0.0) -> Column:
     return F.aggregate(boxes, F.slice(boxes, 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) > most), kept).otherwise(F.concat(kept, F.array(b))))
 
 
-def centres(boxes: Column, dedupe: float | None = None) -> Column:
+def centres(boxes: Column, dedupe: float | None = None, least: float = MIN_SCORE) -> Column:
     """Centres of the markers from left to right, in their order where they share an x."""
-    kept = markers(boxes) if dedupe is None else deduplicated(markers(boxes), dedupe)
+    kept = markers(boxes, least=least) if dedupe is None else deduplicated(markers(boxes, least=least), dedupe)
     ordered = F.array_sort(F.transform(F.transform(kept, centre), lambda c, i: F.struct(c["x"].alias("x"), i.alias("i"), c["y"].alias("y"))))
     return F.transform(ordered, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
 

@@ -155,6 +155,18 @@ def oom_summary(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("n_events"), F.count_if(back).alias("n_recovered"), F.count_if(~back).alias("n_unrecovered"), F.count_distinct(F.when(back, F.col("image_id"))).alias("degraded_images"), F.count_distinct(F.when(~back, F.col("image_id"))).alias("failed_images"))
 
 
+def oom_images(events: DataFrame) -> DataFrame:
+    """image_id and recovered of every image that ran out of memory, each once, sorted; a table, however many there are."""
+    return events.select("image_id", "recovered").distinct().orderBy("image_id", "recovered")
+
+
+def oom_events(generated: DataFrame, height: int, width: int, multiple: int = 32) -> DataFrame:
+    """image_id, scale, height, width, recovered of the images that stages.run_generation had to retry; sizes are those
+    they were read at, null where no scale fitted."""
+    side = lambda n: F.when(F.col("recovered"), F.greatest(F.lit(multiple), F.floor(F.floor(F.col("scale") * n) / multiple) * multiple).cast("int"))
+    return generated.where("recovered is not null").select("image_id", "scale", side(height).alias("height"), side(width).alias("width"), "recovered")
+
+
 def latency(timings: DataFrame) -> DataFrame:
     """timings (n_images, donut_s, axis_s, markers_s, decode_s) as milliseconds per image, total_ms included."""
     per = lambda s: 1000 * s / F.greatest(F.col("n_images"), F.lit(1))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seriesmill.functions.labels import SOURCES
+
 
 def bucket(key: Column, salt: str) -> Column:
     """The first 32 bits of MD5(salt:key) as a share of the largest such number, 0 and 1 included."""
@@ -84,3 +86,22 @@ def oversampled(extracted: DataFrame, generated: DataFrame, times: int) -> DataF
     """Extracted rows times over and generated rows once, with copy (from 1)."""
     many = extracted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times)))) if times > 0 else extracted.limit(0).withColumn("copy", F.lit(1))
     return many.unionByName(generated.withColumn("copy", F.lit(1)))
+
+
+def subset(images: DataFrame, which: str) -> DataFrame:
+    """The images of one source, or of both; any other word is an error."""
+    if which not in ("both", *SOURCES):
+        raise ValueError(f"unknown subset {which!r}; known: both, {', '.join(SOURCES)}")
+    return images if which == "both" else images.where(F.col("source") == which)
+
+
+def leaked(training: DataFrame, holdout: DataFrame) -> DataFrame:
+    """image_id of held-out images among the training rows, each once."""
+    return holdout.select("image_id").join(training.select("image_id"), "image_id", "left_semi").distinct()
+
+
+def refuse_leaks(training: DataFrame, holdout: DataFrame) -> None:
+    """Raises, naming three of them, if a held-out image is among the training rows."""
+    found = leaked(training, holdout).orderBy("image_id").limit(3).collect()
+    if found:
+        raise ValueError("held-out images in the training rows: " + ", ".join(r.image_id for r in found))

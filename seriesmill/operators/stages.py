@@ -51,16 +51,20 @@ def run_generation(images: DataFrame, factory: Callable[[], Callable[[Sequence[s
                 if why is None:
                     rows += [(i, r, None, 1.0, None) for i, r in zip(ids, raw)]
                     continue
+                if why != OUT_OF_MEMORY:
+                    rows += [(i, "", why, 1.0, None) for i in ids]
+                    continue
                 for i, c in zip(ids, contents):
                     raw, why_one = attempt([i], [c], 1.0)
                     scale, recovered = 1.0, None
-                    for s in tried if why_one == OUT_OF_MEMORY else ():
-                        raw, why_one = attempt([i], [c], s)
-                        scale, recovered = s, why_one is None
-                        if why_one != OUT_OF_MEMORY:
-                            break
                     if why_one == OUT_OF_MEMORY:
+                        # Any error at a lower scale is a failed attempt; the next scale may still do.
                         scale, recovered = None, False
+                        for s in tried:
+                            raw, failed = attempt([i], [c], s)
+                            if failed is None:
+                                scale, recovered, why_one = s, True, None
+                                break
                     rows.append((i, raw[0] if why_one is None else "", why_one, scale, recovered))
             yield pd.DataFrame(rows, columns=["image_id", "raw", "failure_mode", "scale", "recovered"]).astype({"scale": "float64", "recovered": "object"})
 

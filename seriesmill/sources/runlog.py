@@ -55,6 +55,14 @@ def generation_label(beams: Column, sample: Column, top_k: Column, top_p: Column
     return F.when(sample, sampling).when(beams == 1, "greedy").otherwise(F.concat(F.lit("beam_search(num_beams="), beams.cast("string"), F.lit(")")))
 
 
+def generation_options(max_length: int, num_beams: int = 1, do_sample: bool = False, early_stopping: bool = True, **sampling: float | None) -> dict:
+    """What a generate call is given; settings of sampling (temperature, top_k, top_p) only if it is on."""
+    if unknown := set(sampling) - {"temperature", "top_k", "top_p"}:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    fixed = {"max_length": max_length, "num_beams": num_beams, "do_sample": do_sample, "early_stopping": early_stopping}
+    return fixed | ({k: v for k, v in sampling.items() if v is not None} if do_sample else {})
+
+
 def table_row(cells: dict[str, Column]) -> Column:
     """One row of the comparison table, a cell for each of TABLE_COLUMNS ('?' where missing)."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(cells[c].cast("string"), F.lit("?")) if c in cells else F.lit("?") for c in TABLE_COLUMNS)), F.lit(" |"))
