@@ -52,7 +52,7 @@ def nodes(records: DataFrame, key: str, roots: dict[str, Column], max_depth: int
         step = F.col("_p").cast("string")
         d = d.withColumn("_at", F.concat_ws("/", "_id", step)).withColumn("_way", F.array_append("_path", F.coalesce("_k", step)))
         node = F.struct(F.col("_at").alias("node_id"), F.col("_id").alias("parent_id"), F.col("_way").alias("path"), F.col("_k").alias("label"), F.col("_p").alias("ordinal"), F.col("_t").alias("kind"), text.alias("scalar"), F.col("_above").alias("carried"))
-        out = F.when(F.col("_p").isNull(), F.col("_out")).when(F.col("_p") == 0, F.array_append("_out", node)).otherwise(F.array(node)).cast(NODES)
+        out = F.when(F.col("_p").isNull(), F.col("_out")).when(F.col("_p") == 0, F.array_append("_out", node)).otherwise(F.array(node))
         own = F.coalesce(F.when(F.col("_t") == "object", F.try_variant_get("_c", f"$.{carry}", "string")), F.col("_above")) if carry else none
         d = d.select(key, "row_id", F.col("_at").alias("_id"), F.col("_way").alias("_path"), own.alias("_above"), out.alias("_out"), F.when(F.col("_in"), F.col("_c")).alias("_v"))
     d = d.select(key, "row_id", F.explode("_out").alias("n")).select(key, "row_id", "n.*")
