@@ -10,4 +10,4 @@ from seriesmill.plans import charts, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**records.QUERIES, **charts.QUERIES}
 ORACLE: dict[str, str] = {**records.ORACLE, **charts.ORACLE}
-FLAGSHIP = "c_token_scores"
+FLAGSHIP = "c_breakdown"

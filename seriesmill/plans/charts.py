@@ -328,6 +328,13 @@ ORACLE: dict[str, str] = {
         h as (select *, greatest(2, least(len(list_filter(p, lambda x: x < probe)) + 1, n)) as hi from q),
         r as (select l_orderkey, n, nm, case when n >= 2 then v[hi - 1] + (probe - p[hi - 1]) * (v[hi] - v[hi - 1]) / (p[hi] - p[hi - 1]) else v[1] end as y from h)
         select l_orderkey, any_value(n) as ticks, round(max(y) filter (nm = 'before'), 6) as before, round(max(y) filter (nm = 'inside'), 6) as inside, round(max(y) filter (nm = 'behind'), 6) as behind from r group by 1""",
+    "c_markers": """with recursive l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_partkey) as nth, (l_partkey % 200)::double as x, l_quantity::double * 2 as y from lineitem where l_partkey % 10 >= 5),
+        b as (select l_orderkey, row_number() over (partition by l_orderkey order by nth) as rn, {'x': x, 'y': y} as box from l),
+        w as (select l_orderkey, 1::bigint as i, [box] as kept from b where rn = 1
+          union all select w.l_orderkey, i + 1, case when len(list_filter(kept, lambda k: least(k.x, box.x) + 10 - greatest(k.x, box.x) + 1 > 0 and least(k.y, box.y) + 10 - greatest(k.y, box.y) + 1 > 0)) > 0 then kept else list_append(kept, box) end
+          from w join b on b.l_orderkey = w.l_orderkey and b.rn = i + 1),
+        f as (select l_orderkey, max(i) as markers, max(len(kept)) as kept from w group by 1)
+        select o.l_orderkey::varchar as image_id, coalesce(markers, 0)::bigint as markers, coalesce(kept, 0)::bigint as kept from (select distinct l_orderkey from lineitem) o left join f on o.l_orderkey = f.l_orderkey""",
     "c_oom_summary": "select count(*) as n_events, count(*) filter (event_type = 'error') as n_recovered, count(*) filter (event_type <> 'error') as n_unrecovered, count(distinct user_id) filter (event_type = 'error') as degraded_images, count(distinct user_id) filter (event_type <> 'error') as failed_images from events",
     "c_edit_scores": """with s as (select p_brand, sum(levenshtein(p_type, case when p_partkey % 3 = 0 then substr(p_type, 3) else p_type end)) as e, sum(length(p_type)) as n from part group by 1)
         select p_brand, round(case when n = 0 then case when e = 0 then 1.0 else 0.0 end else 2 - 2 / (1 + exp(-e / n)) end, 6) as score from s""",
